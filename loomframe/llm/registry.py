@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from loomframe.llm.classifier import op6_ftrl_quality
 from loomframe.llm.packing import op9_cost_balanced_packing
 from loomframe.llm.repetition import op1_repetition_rules
 from loomframe.llm.simhash import op7_simhash_byte_index
+from loomframe.llm.sketch import op5_bottom_k_sketch
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repetition_rules,
+        op5_bottom_k_sketch,
+        op6_ftrl_quality,
         op7_simhash_byte_index,
         op9_cost_balanced_packing,
     )
