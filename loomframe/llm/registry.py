@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from loomframe.llm.classifier import op6_ftrl_quality
+from loomframe.llm.mixing import op8_raked_mixing
 from loomframe.llm.packing import op9_cost_balanced_packing
 from loomframe.llm.repetition import op1_repetition_rules
+from loomframe.llm.sharding import op3_sampled_splitters
 from loomframe.llm.simhash import op7_simhash_byte_index
 from loomframe.llm.sketch import op5_bottom_k_sketch
 
@@ -12,9 +14,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_repetition_rules,
+        op3_sampled_splitters,
         op5_bottom_k_sketch,
         op6_ftrl_quality,
         op7_simhash_byte_index,
+        op8_raked_mixing,
         op9_cost_balanced_packing,
     )
 }
