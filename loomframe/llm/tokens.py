@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import sys
 
 import numpy as np
 
@@ -19,8 +20,6 @@ from loomframe.llm.common import ship
 
 ship(__name__)
 
-_LOADED: dict = {}
-
 
 def vocabulary() -> str:
     """Path of the default vocabulary file."""
@@ -36,10 +35,15 @@ def _byte_table() -> dict:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
-    """A function from a list of str to a list of uint32 arrays; kept for the life of the process."""
-    if path in _LOADED:
-        return _LOADED[path]
+def encoder(path: str, special: bool = True):
+    """A function from a list of str to a list of uint32 arrays; kept for the life of the process.
+
+    special: whether the string of a special token in a text is that token, else it is ordinary text.
+    """
+    # functions are sent to workers by value, so a worker keeps what it has loaded where later tasks find it
+    loaded = sys.__dict__.setdefault("_loomframe_encoders", {})
+    if (path, special) in loaded:
+        return loaded[path, special]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     ranks_path = path[: -len(".json")] + ".tiktoken"
     fn = None
@@ -48,23 +52,25 @@ def encoder(path: str):
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        marks = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         table = _byte_table()
-        listed = {bytes(table[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
+        listed = {bytes(table[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in marks}
         if listed == ranks and spec["normalizer"] is None and not spec["pre_tokenizer"]["add_prefix_space"]:
-            enc = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            enc = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
 
             def fn(texts):
-                return [np.asarray(enc.encode_to_numpy(t, allowed_special="all"), np.uint32) for t in texts]
+                allowed = "all" if special else set()
+                return [np.asarray(enc.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()), np.uint32) for t in texts]
 
     if fn is None:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = not special
 
         def fn(texts):
             return [np.array(e.ids, np.uint32) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
-    _LOADED[path] = fn
+    loaded[path, special] = fn
     return fn
