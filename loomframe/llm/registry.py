@@ -7,7 +7,7 @@ from loomframe.llm.htmltext import op10_layout_text
 from loomframe.llm.mixing import op8_raked_mixing
 from loomframe.llm.packing import op9_cost_balanced_packing
 from loomframe.llm.quotes import op2_quotation_linking
-from loomframe.llm.repetition import op1_repetition_rules
+from loomframe.llm.repetition import OP1_SQL, op1_repetition_rules
 from loomframe.llm.sharding import op3_sampled_splitters
 from loomframe.llm.simhash import op7_simhash_byte_index
 from loomframe.llm.sketch import op5_bottom_k_sketch
@@ -28,4 +28,4 @@ QUERIES = {
         op10_layout_text,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_repetition_rules": OP1_SQL}

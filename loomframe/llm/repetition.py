@@ -191,4 +191,23 @@ def quality_filter(df: DataFrame, text: str = "text", **limits) -> DataFrame:
 def op1_repetition_rules(spark, sf_dir: str) -> DataFrame:
     stats = repetition_stats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     failed, kept = with_verdict(stats)
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_covered", "longest_repeat")
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "n_covered")
+
+
+def _grams(name: str, k: int) -> str:
+    """A table of the places of k-word windows that their document holds twice or more."""
+    return f"""{name} AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM
+ (SELECT id, i, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM words WHERE len(w) >= {k}))) WHERE n > 1)"""
+
+
+#: The rules without suffix arrays: a repeat of k words or more is a chain of k-word windows found twice.
+OP1_SQL = f"""WITH words AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+{_grams("small", WINDOW)}, {_grams("wide", MIN_REPEAT_WORDS)}, {_grams("huge", MAX_LONGEST + 1)},
+in_small AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, i + unnest(range({WINDOW})) AS p FROM small) GROUP BY 1),
+in_wide AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, i + unnest(range({MIN_REPEAT_WORDS})) AS p FROM wide) GROUP BY 1),
+lines AS (SELECT id, count(*) - count(DISTINCT l) AS n FROM (SELECT id, unnest(string_split(t, chr(10))) AS l FROM words) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(in_small.n, 0)::BIGINT AS n_repeat_words, coalesce(in_wide.n, 0)::BIGINT AS n_covered, words.id IN (SELECT id FROM huge) AS too_long
+ FROM words LEFT JOIN lines ON lines.id = words.id LEFT JOIN in_small ON in_small.id = words.id LEFT JOIN in_wide ON in_wide.id = words.id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_WINDOW_PERCENT} * n_words AS base_failed,
+ NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_WINDOW_PERCENT} * n_words) AND n_covered <= {MAX_COVERED} * n_words AND NOT too_long AS kept, n_covered FROM f"""
