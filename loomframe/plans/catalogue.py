@@ -523,10 +523,10 @@ def dt_tz(t):
     return t("events").select("event_id", h=d.hour("Asia/Tokyo"), d=d.day("Asia/Tokyo"), o=d.utc_offset("Asia/Tokyo"), iso=d.utc_offset("Asia/Tokyo", format="iso"))
 
 
-@query("""SELECT l.event_id, round((epoch_us(l.ts) // 1000 - 1577836800000) / 86400000.0, 6) AS days, round((epoch_us(l.ts) // 1000 - 1577836800000) / 60000.0, 4) AS minutes FROM events l""")
+@query("""SELECT l.event_id, round((epoch_us(l.ts) // 1000 - 1577836800000) / 86400000.0, 6) AS days, round((epoch_us(l.ts) // 1000 - 1577836800000) / 60000.0, 8) AS minutes FROM events l""")
 def dt_duration(t):
     ms = col("ts").sub(lit("2020-01-01").str.to_datetime())
-    return t("events").select("event_id", days=ms.dt.total_days().round(6), minutes=ms.dt.total_minutes().round(4))
+    return t("events").select("event_id", days=ms.dt.total_days().round(6), minutes=ms.dt.total_minutes().round(8))
 
 
 @query("SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M:%S') AS a, strftime(ts, '%Y-%m-%d') AS b, strptime(strftime(ts, '%d.%m.%Y %H:%M:%S'), '%d.%m.%Y %H:%M:%S') AS c FROM events")
