@@ -67,7 +67,7 @@ def _modes(df, keys, cols, order, out):
         best = n.join(top, cond)
     else:
         best = n.crossJoin(F.broadcast(top)).where("__n = __m")
-    return best.groupBy(*keys).agg(F.array_sort(F.collect_list(cols[0])).alias(out))
+    return best.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 0, F.array_sort(F.collect_list(cols[0]))).alias(out))
 
 
 def _frequencies(base):

@@ -8,6 +8,7 @@ literals, strings too; columns are named with col().
 
 from __future__ import annotations
 
+import builtins
 import datetime
 import decimal
 from collections.abc import Callable
@@ -124,7 +125,9 @@ class Expr(Arithmetic, Comparison, Logic, Filling, Aggregates, Windows):
         """The tree with fn applied to each node, leaves first."""
         args = tuple(a.replaced(fn) for a in self.args)
         keys = None if self.keys is None else tuple(k.replaced(fn) for k in self.keys)
-        return fn(self if args == self.args and keys == self.keys else self._with(args=args, keys=keys))
+        old = (*self.args, *(self.keys or ()))
+        same = builtins.all(a is b for a, b in zip((*args, *(keys or ())), old))
+        return fn(self if same else self._with(args=args, keys=keys))
 
     def column(self, ctx: Context) -> Column:
         """The Column of a tree without aggregates, windows and selectors left in it."""

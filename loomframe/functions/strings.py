@@ -193,7 +193,7 @@ class Strings:
         if callable(replacement):
             found = pattern if isinstance(pattern, re.Pattern) else re.compile(re.escape(pattern))
 
-            @F.pandas_udf("string")
+            @F.pandas_udf(T.StringType())
             def put(s):
                 return s.map(lambda v: found.sub(lambda m: str(replacement(m[0], *m.groups())), v, count=times), na_action="ignore")
 

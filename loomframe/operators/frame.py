@@ -202,7 +202,7 @@ class Frame:
         for fn in calls:
             names = out.columns
 
-            @F.pandas_udf("boolean")
+            @F.pandas_udf(T.BooleanType())
             def test_rows(frame, fn=fn):
                 return frame.apply(lambda r: bool(fn({k: (None if r[k] is None or r[k] != r[k] else r[k]) for k in frame.columns})), axis=1).astype(bool) if len(frame) else frame.iloc[:, 0].astype(bool)
 

@@ -251,7 +251,7 @@ def lenient(c: Column, source: T.DataType, to: DataType) -> Column:
         d = n.cast("double")
         cut = F.when(d < 0, F.greatest(F.lit(float(to.low)), F.ceil(d).cast("double"))).otherwise(F.least(F.lit(float(to.high)), F.floor(d).cast("double")))
         cut = F.when(d >= to.high, F.lit(float(to.high))).when(d <= to.low, F.lit(float(to.low))).otherwise(cut)
-        return F.when(~F.isnan(d), cut).cast(to.spark)
+        return F.when(d.isNotNull() & ~F.isnan(d), cut).cast(to.spark)
     if name in ("Float32", "Float64", "Duration") or name == "Decimal" and isinstance(to.spark, T.DoubleType):
         return number(c, source).cast(to.spark)
     if name == "Decimal":
