@@ -22,7 +22,7 @@ from loomframe import types as LT
 from loomframe.errors import ColumnNotFoundError, InvalidArgumentError
 from loomframe.functions.aggregates import Aggregates
 from loomframe.functions.scalars import Arithmetic, Comparison, Filling, Logic
-from loomframe.functions.spec import Aggregate
+from loomframe.functions.spec import ROW, Aggregate
 from loomframe.functions.windows import Windows
 
 class Context:
@@ -260,6 +260,10 @@ class Plan:
         args = tuple(self._windows(a) for a in e.args)
         keys = None if e.keys is None else tuple(self._windows(k) for k in e.keys)
         e = e._with(args=args, keys=keys)
+        if e.kind == "win" and e.extra in ("reverse", "row_number") and not e.keys:
+            return self._positions(e)
+        if e.kind == "win" and isinstance(e.extra, tuple) and e.extra[0] == "list":
+            return self._in_lists(e)
         if e.kind == "win":
             order_needed = getattr(e.build, "ordered", True)
             if order_needed:
@@ -292,6 +296,44 @@ class Plan:
             return column(out)._with(name=e.name)
         return e
 
+    def _positions(self, e: Expr) -> Expr:
+        """Row numbers and mirrored values over the whole frame, without a window over one partition."""
+        from loomframe.operators.order import indexed
+
+        if e.extra == "reverse" and e.keys is not None:
+            raise InvalidArgumentError("reverse takes no partition; reverse a list with arr.reverse")
+        at, out = self.slot(), self.slot()
+        self.df = indexed(self.df, at)
+        if e.extra == "row_number":
+            self.df = self.df.withColumn(out, F.col(at) + 1)
+        else:
+            n = self.df.count()
+            mirror = self.df.select((F.lit(n - 1) - F.col(at)).alias(f"{at}m"), e.args[0].column(self.context()).alias(out))
+            self.df = self.df.withColumnRenamed(at, f"{at}f").join(mirror, F.col(f"{at}f") == F.col(f"{at}m"))
+        return column(out)._with(name=e.name)
+
+    def _in_lists(self, e: Expr) -> Expr:
+        """An expression with windows over each list: elements as rows, windows by list and position, and lists again."""
+        row, items, whole, at, out = (self.slot() for _ in range(5))
+        names = self.df.columns
+        df = self.df.withColumn(items, e.args[0].column(self.context())).withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in names]))
+        # one pass, no join: a row's id is made once, before the only shuffle
+        df = df.withColumn(row, F.monotonically_increasing_id())
+        each = df.select(row, whole, items, F.posexplode_outer(items).alias(at, "__element")).withColumn(ROW, F.col(at))
+        inner = Plan(each, lambda d: (d, F.col(ROW)))
+
+        def bound(n: Expr) -> Expr:
+            if n.kind == "element":
+                return column("__element")
+            return n._with(keys=(column(row),)) if n.kind in ("win", "agg") and n.keys is None else n
+
+        (value,) = inner.rows([e.extra[1].replaced(bound)])
+        made = inner.df.select(row, whole, items, F.struct(F.col(at).alias("at"), value.alias("v")).alias("s"))
+        made = made.groupBy(row).agg(F.first(whole).alias(whole), F.first(F.size(items)).alias(at), F.transform(F.array_sort(F.collect_list("s")), lambda x: x["v"]).alias(out))
+        kept_list = F.when(F.col(at) > 0, F.col(out)).when(F.col(at) == 0, F.slice(out, 1, 0))
+        self.df = made.select(*[F.col(whole)[c].alias(c) for c in names], kept_list.alias(out))
+        return column(out)._with(name=e.name)
+
     def _keep(self, value: Column, e: Expr) -> Expr:
         name = self.slot()
         self.df = self.df.withColumn(name, value)

@@ -257,11 +257,13 @@ class Lists:
 
     def eval(self, expr):
         """The expression of element() over each list: for each element, or once for an aggregate of the elements."""
+        if expr.has("win"):
+            from loomframe.functions.expr import Expr
+
+            return Expr(None, (self.e,), "win", extra=("list", expr))
         whole = _reduced(expr)
         if whole is not None:
             return self._reduce(whole)
-        if expr.has("win"):
-            return self.e._map(lambda ctx, x: _window_in_list(ctx, x, expr))
         return self.e._map(lambda ctx, x: F.transform(x, _body(ctx, x, expr)[1]))
 
     def agg(self, expr):
@@ -342,8 +344,3 @@ def _same(method: Any, node: Any) -> bool:
 
 def _cells(f: Any) -> list:
     return [repr(c.cell_contents) for c in f.__closure__ or ()]
-
-
-def _window_in_list(ctx: Any, x: Column, expr: Any) -> Column:
-    """Ranks, shifts and running values inside a list, by position."""
-    raise InvalidArgumentError("window functions inside a list: use arr.sort, arr.shift or explode and over")

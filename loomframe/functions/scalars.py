@@ -478,14 +478,7 @@ class Filling:
         raise InvalidArgumentError(f"no fill strategy is called {strategy!r}")
 
     def reverse(self):
-        """The column's values in reverse row order, apart from the other columns; costs a sort of the whole column."""
+        """The column's values in reverse row order, apart from the other columns: a join of positions with mirrored positions."""
+        from loomframe.functions.expr import Expr
 
-        def build(ctx, parts, x):
-            w = W.partitionBy(*parts).orderBy(ctx.order)
-            # the value at the mirrored position: positions from both ends meet through a list-free lead
-            n = F.count(F.lit(1)).over(W.partitionBy(*parts))
-            i = F.row_number().over(w)
-            values = F.collect_list(F.struct(x.alias("v"))).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-            return F.get(values, n - i)["v"]
-
-        return self._win(build)
+        return Expr(None, (self,), "win", name=self._name, extra="reverse")

@@ -88,7 +88,7 @@ class Windows:
 
     def row_number(self):
         """Position in the partition, from 1."""
-        return self._win(lambda ctx, parts, x: F.row_number().over(W.partitionBy(*parts).orderBy(ctx.order)), name="row_number")
+        return self._win(lambda ctx, parts, x: F.row_number().over(W.partitionBy(*parts).orderBy(ctx.order)), name="row_number")._with(extra="row_number")
 
     def _rolling(self, size, fn):
         if size < 1:

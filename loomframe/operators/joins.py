@@ -108,12 +108,13 @@ def distance(c: Any, t: T.DataType) -> Any:
     return LT.millis(c, t).cast("double") if LT.is_time(t) else c.cast("double")
 
 
-def join_asof(l: DataFrame, r: DataFrame, *, on: Any = None, left_on: Any = None, right_on: Any = None, by: Any = None, left_by: Any = None, right_by: Any = None, strategy: str = "backward", tolerance: Any = None, allow_exact_matches: bool = True, coalesce: bool = True, suffixes: tuple[str, str] = ("", "_right")) -> DataFrame:
+def join_asof(l: DataFrame, r: DataFrame, *, on: Any = None, left_on: Any = None, right_on: Any = None, by: Any = None, left_by: Any = None, right_by: Any = None, strategy: str = "backward", tolerance: Any = None, allow_exact_matches: bool = True, coalesce: bool = True, suffixes: tuple[str, str] = ("", "_right"), buckets: int | None = None) -> DataFrame:
     """Each left row with the nearest right row at or before it (backward), after it (forward) or either (nearest; of equals the one before).
 
     Both sides are united and sorted once by (by, on); the last right row seen is carried over the left
-    rows, so no pair of rows is ever formed. Without `by` one sort order holds all rows and one task walks it, so
-    give `by` on large tables.
+    rows, so no pair of rows is ever formed. The sort is cut into `buckets` ranges of `on` (approximate quantiles of the left side; 64
+    without `by`, else 1), each a task's work, so that one hot key or no key at all is no single task's; what a bucket
+    ends with is carried into the next ones by a summary of a row for each bucket. Give buckets where a `by` key is hot.
     """
     if strategy not in ("backward", "forward", "nearest"):
         raise InvalidArgumentError("strategy is backward, forward or nearest")
@@ -135,23 +136,43 @@ def join_asof(l: DataFrame, r: DataFrame, *, on: Any = None, left_on: Any = None
     both = left.unionByName(right)
     is_left = F.col("l").isNotNull()
 
-    def carried(forward: bool):
-        """The last right row before (the first after) each left row, equal keys counted if they may."""
+    cuts = _cuts(l2, lk, t, buckets if buckets is not None else 1 if bys else 64)
+    bucket = F.size(F.filter(F.array(*cuts), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
+    both = both.withColumn("bucket", F.when(F.col("k").isNull(), F.lit(-1)).otherwise(bucket))
+    rkey = f"r{rcols.index(rk)}"
+
+    def carried(df: DataFrame, forward: bool, out: str) -> DataFrame:
+        """df with the last right row before (the first after) each left row, equal keys counted if they may."""
         right_first = allow_exact_matches != forward
         side = F.when(is_left, F.lit(1 if right_first else 0)).otherwise(F.lit(0 if right_first else 1))
-        w = W.partitionBy(*bys).orderBy(F.asc_nulls_first("k"), side, F.asc("o"))
+        w = W.partitionBy(*bys, "bucket").orderBy(F.asc_nulls_first("k"), side, F.asc("o"))
+        if forward:
+            near = F.first("p", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+        else:
+            near = F.last("p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+        df = df.withColumn(out, near)
+        if not cuts:
+            return df
+        # a row for each bucket of each key: its first or last right row, then that of the nearest bucket that has one
+        edge = F.min_by("p", F.struct("k", "o")) if forward else F.max_by("p", F.struct("k", "o"))
+        ends = both.where(~is_left).groupBy(*bys, "bucket").agg(edge.alias("e"))
+        have = both.select(*bys, "bucket").distinct().join(_same(ends, bys), _matches(bys), "left").drop("bucket_", *[f"{b}_" for b in bys])
+        along = W.partitionBy(*bys).orderBy("bucket")
         if forward:
-            return F.first("p", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-        return F.last("p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+            carry = F.first("e", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing))
+        else:
+            carry = F.last("e", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))
+        carry = have.select(*bys, "bucket", carry.alias("carry"))
+        joined = df.join(_same(carry, bys), _matches(bys), "left")
+        return joined.withColumn(out, F.coalesce(out, "carry")).drop("carry", "bucket_", *[f"{b}_" for b in bys])
 
-    rkey = f"r{rcols.index(rk)}"
     if strategy == "nearest":
-        seen = both.withColumns({"bp": carried(False), "fp": carried(True)}).where(is_left)
+        seen = carried(carried(both, False, "bp"), True, "fp").where(is_left)
         db, df_ = (F.abs(distance(F.col("k"), t) - distance(F.col(x)[rkey], r.schema[rk].dataType)) for x in ("bp", "fp"))
         match = F.when(F.col("fp").isNull() | (db <= df_), F.col("bp")).otherwise(F.col("fp"))
         seen = seen.withColumn("m", match)
     else:
-        seen = both.withColumn("m", carried(strategy == "forward")).where(is_left)
+        seen = carried(both, strategy == "forward", "m").where(is_left)
     ok = F.col("k").isNotNull()
     if tolerance is not None:
         most = milliseconds(tolerance) if not isinstance(tolerance, (int, float)) else tolerance
@@ -166,6 +187,28 @@ def join_asof(l: DataFrame, r: DataFrame, *, on: Any = None, left_on: Any = None
     return seen.select(*out, *([F.col("l")["row"].alias(ROW)] if had_order else []))
 
 
+def _cuts(df: DataFrame, key: str, t: T.DataType, buckets: int) -> list:
+    """Up to buckets - 1 values that cut the keys into ranges of about one size, as literals."""
+    if buckets <= 1:
+        return []
+    c = F.col(f"`{key}`")
+    asked = [i / buckets for i in range(1, buckets)]
+    got = df.select(F.percentile_approx(c.cast("timestamp_ntz") if isinstance(t, T.DateType) else c, asked, 1000)).first()[0]
+    return [F.lit(v).cast("timestamp_ntz" if LT.is_time(t) and not isinstance(t, T.TimestampType) else t) for v in sorted(set(got or []))]
+
+
+def _same(df: DataFrame, bys: list[str]) -> DataFrame:
+    """df with its keys renamed, to be joined by _matches."""
+    return df.withColumnsRenamed({c: f"{c}_" for c in (*bys, "bucket")})
+
+
+def _matches(bys: list[str]):
+    cond = F.col("bucket") == F.col("bucket_")
+    for b in bys:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"{b}_"))
+    return cond
+
+
 def _one(x: list) -> list:
     raise InvalidArgumentError("an as-of join has one key besides `by`")
 

@@ -282,6 +282,16 @@ def test_lists(value, expr, want):
     assert one(value, expr) == want
 
 
+def test_windows_inside_lists():
+    f = lf.data([{"a": [3, 1, 2]}, {"a": []}, {"a": None}, {"a": [5, 5]}])
+    got = f.select(r=A_("a").eval(element().rank()), c=A_("a").eval(element().cum_sum().add(1)), l=A_("a").eval(element().lag())).to_dict()
+    assert got["r"] == [[3, 1, 2], [], None, [1, 1]] and got["c"] == [[4, 5, 7], [], None, [6, 11]] and got["l"] == [[None, 3, 1], [], None, [None, 5]]
+
+
+def A_(name):
+    return col(name).arr
+
+
 def test_explode():
     f = lf.data([{"id": 1, "a": [1, 2], "b": ["x", "y"]}, {"id": 2, "a": [], "b": []}, {"id": 3, "a": None, "b": None}])
     assert f.explode(["a", "b"]).to_dict() == {"id": [1, 1, 2, 3], "a": [1, 2, None, None], "b": ["x", "y", None, None]}
@@ -345,6 +355,8 @@ def test_asof_against_brute_force():
         for exact in (True, False):
             for tolerance in (None, 3):
                 got = lf.data(left).join_asof(lf.data(right), on="t", by="g", strategy=strategy, allow_exact_matches=exact, tolerance=tolerance).to_dicts()
+                cut = lf.data(left).join_asof(lf.data(right), on="t", by="g", strategy=strategy, allow_exact_matches=exact, tolerance=tolerance, buckets=5).to_dicts()
+                assert cut == got
                 assert [g["i"] for g in got] == list(range(60))
                 for l, g in zip(left, got):
                     fit = [r for r in right if r["g"] == l["g"] and l["t"] is not None and (exact or r["t"] != l["t"])]
