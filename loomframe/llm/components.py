@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import ship, stored
+from loomframe.llm.common import discard, ship, stored
 
 ship(__name__)
 
@@ -70,7 +70,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(low.select("a", F.col("m").alias("b")))
-        e = stored(small.distinct(), "edges")
+        before, e = e, stored(small.distinct(), "edges")
+        discard(before, large)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

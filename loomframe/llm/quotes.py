@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import map_texts, ship, stored
+from loomframe.llm.common import discard, map_texts, ship, stored
 from loomframe.llm.sharding import placed
 
 ship(__name__)
@@ -114,7 +114,8 @@ def roots(links: DataFrame) -> DataFrame:
     e = stored(links.select("c", "t", F.col("up").alias("root"), F.lit(1).cast("long").alias("depth")), "links")
     while True:
         step = e.select("c", F.col("t").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"))
-        e = stored(e.join(step, ["c", "root"], "left").select("c", "t", F.coalesce("far", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("far").isNotNull().alias("moved")), "links")
+        before, e = e, stored(e.join(step, ["c", "root"], "left").select("c", "t", F.coalesce("far", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("far").isNotNull().alias("moved")), "links")
+        discard(before)
         if not e.where("moved").limit(1).count():
             return e.drop("moved")
 
@@ -143,7 +144,9 @@ def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     out = out.withColumns({"quoted": F.coalesce("quoted", F.lit(0)), "linked": F.coalesce("linked", F.lit(0)), "depth": F.coalesce("depth", F.lit(0)), "root": F.coalesce("root", "t")})
     # h, i, r: places in the order (conversation, root, turn); each row counts as 1
     out = stored(out.withColumns({"h": F.col("c"), "i": F.col("root"), "r": F.col("t"), "size": F.lit(1).cast("long")}), "replies")
+    discard(all_, found, links)
     ranked = stored(placed(out.select("h", "i", "r", "size", *[c for c in out.columns if c not in ("h", "i", "r", "size")]))[0], "ranked")
+    discard(out)
     start = ranked.groupBy("h").agg(F.min("place").alias("start"))
     out = ranked.join(start, "h")
     return out.select("conv", "turn", "role", F.when(F.col("up").isNotNull(), F.col("up")).alias("reply_to"), F.when(F.col("root") < NEVER, F.col("root")).alias("root"), "depth", (F.col("place") - F.col("start")).alias("place"), "levels", "quoted", "linked", F.col("own").alias("text"))

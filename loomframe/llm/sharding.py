@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import ship, stored
+from loomframe.llm.common import discard, ship, stored
 
 ship(__name__)
 
@@ -136,6 +136,7 @@ def sharded(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", tex
     else:
         shard = F.expr(f"(place * {n_shards}L) div {max(1, rows)}L")
     done = stored(rows_placed.select("id", "size", "crc", "part", "place", shard.cast("int").alias("shard")), "placed")
+    discard(records)
     first = done.groupBy("shard").agg(F.min("place").alias("first"))  # a row per shard
     out = done.join(F.broadcast(first), "shard")
     return out.select("id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.col("part").alias("range"))

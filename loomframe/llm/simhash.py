@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import map_texts, ship, stored
+from loomframe.llm.common import discard, map_texts, ship, stored
 from loomframe.llm.components import components, forest
 
 ship(__name__)
@@ -134,6 +134,7 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     named = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("least").alias("component"))
     labels = stored(named.join(first, "root").select("fp", "component"), "labels")
+    discard(each)
     return marks.join(labels, "fp").select("id", "fp", "component")
 
 
