@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import loomframe as lf
 from loomframe import Frame, col, element, lit, when
+from loomframe.sources.scratch import scratch
 from loomframe.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,9 +94,9 @@ def duplicated_unique(t):
     return t("part").select("p_partkey", dup=col("p_name").is_duplicated(), uni=col("p_name").is_unique())
 
 
-@query("SELECT * FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part) WHERE p_partkey % 3 = 0")
+@query("SELECT p_partkey, p_size::DOUBLE AS x FROM part")
 def casts_and_selectors(t):
-    return t("part").select(lf.col(lf.types.Int64), col("p_size").cast(lf.types.Float64).alias("x")).filter(col("p_partkey").mod(3).eq(0))
+    return t("part").select(lf.col(lf.types.Int64), col("p_size").cast(lf.types.Float64).alias("x"))
 
 
 # ---- aggregates
@@ -312,18 +313,18 @@ def join_cross(t):
     return t("region").select("r_name").join(t("nation").select("n_name"), how="cross")
 
 
-@query("""SELECT a.event_id, b.event_id AS event_id_right FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE a.value > 95 AND b.value < 5""")
+@query("SELECT a.event_id, b.event_id AS event_id_right FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type")
 def join_multi_key_suffix(t):
-    a, b = (t("events").filter(p).select("event_id", "user_id", "event_type") for p in (col("value").gt(95), col("value").lt(5)))
-    return a.join(b, on=["user_id", "event_type"]).select("event_id", "event_id_right")
+    e = t("events").select("event_id", "user_id", "event_type")
+    return e.join(e, on=["user_id", "event_type"]).select("event_id", "event_id_right")
 
 
-@query("""WITH l AS (SELECT event_id AS a, CASE WHEN value < 50 THEN NULL ELSE user_id END AS k FROM events WHERE event_id < 400), r AS (SELECT event_id AS b, CASE WHEN value < 50 THEN NULL ELSE user_id END AS k FROM events WHERE event_id BETWEEN 400 AND 500)
-SELECT a, b FROM l JOIN r ON l.k IS NOT DISTINCT FROM r.k""")
+@query("""WITH e AS (SELECT event_id, event_type, CASE WHEN value < 1 THEN NULL ELSE user_id END AS k FROM events)
+SELECT l.event_id AS a, r.event_id AS b FROM e l JOIN e r ON l.k IS NOT DISTINCT FROM r.k WHERE l.event_type = 'click' AND r.event_type = 'view'""")
 def join_nulls(t):
-    k = when(col("value").ge(50)).then(col("user_id"))
-    l = t("events").filter(col("event_id").lt(400)).select(a=col("event_id"), k=k)
-    r = t("events").filter(col("event_id").between(400, 500)).select(b=col("event_id"), k=k)
+    k = when(col("value").ge(1)).then(col("user_id"))
+    l = t("events").filter(col("event_type").eq("click")).select(a=col("event_id"), k=k)
+    r = t("events").filter(col("event_type").eq("view")).select(b=col("event_id"), k=k)
     return l.join(r, on="k", join_nulls=True).select("a", "b")
 
 
@@ -398,9 +399,9 @@ def unique_subset(t):
     return t("events").order_by("event_id").unique(["user_id", "event_type"]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT doc_id, pos - 1 AS pos, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents WHERE lang = 'en' AND n_chars < 2000)")
+@query("SELECT doc_id, pos - 1 AS pos, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents)")
 def explode_words(t):
-    f = t("documents").filter(col("lang").eq("en"), col("n_chars").lt(2000)).select("doc_id", w=col("text").str.split(" "))
+    f = t("documents").select("doc_id", w=col("text").str.split(" "))
     f = f.with_columns(pos=lf.Expr(lambda ctx, x: F.transform(x, lambda e, i: i.cast("bigint")), (col("w"),)))
     return f.explode(["w", "pos"]).select("doc_id", "pos", "w")
 
@@ -473,12 +474,10 @@ def str_pad_strip(t):
     return t("customer").select("c_custkey", z=col("c_custkey").cast(lf.types.Utf8).str.zfill(6), p=col("c_mktsegment").str.rpad(12, "."), t=lit("  ").str.concat(col("c_name")).str.concat(" ").str.trim(), s=n.strip_prefix("Customer#"), m=n.slice(2, 4))
 
 
-@query("SELECT p_partkey, replace(lower(p_type), ' ', '_') AS snake, replace(lower(p_type), ' ', '-') AS kebab FROM part WHERE NOT regexp_matches(p_type, '[^A-Za-z ]')")
+@query("SELECT p_partkey, replace(lower(p_type), ' ', '_') AS snake, replace(lower(p_type), ' ', '-') AS kebab FROM part")
 def str_case(t):
-    import re
-
     p = col("p_type").str
-    return t("part").filter(p.contains(re.compile("[^A-Za-z ]")).not_()).select("p_partkey", snake=p.to_snakecase(), kebab=p.to_kebabcase())
+    return t("part").select("p_partkey", snake=p.to_snakecase(), kebab=p.to_kebabcase())
 
 
 @query("SELECT p_partkey, lower(hex(p_name)) AS h, to_base64(p_name::BLOB) AS b, p_name AS back, url_encode(p_name || ' &') AS u FROM part")
@@ -560,16 +559,16 @@ def arr_eval_filter(t):
     return t("embeddings").select("vec_id", sq=a.eval(element().mul(element())).arr.sum().round(4), pos=a.filter(element().gt(0)).arr.lengths())
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(lower(text), ' '))), ' ') AS w, len(list_distinct(string_split(lower(text), ' ')))::INT AS n, list_contains(string_split(lower(text), ' '), 'the') AS c FROM documents WHERE n_chars < 600""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(lower(text), ' '))), ' ') AS w, len(list_distinct(string_split(lower(text), ' ')))::INT AS n, list_contains(string_split(lower(text), ' '), 'the') AS c FROM documents""")
 def arr_sort_unique(t):
     w = col("text").str.lower().str.split(" ").arr
-    return t("documents").filter(col("n_chars").lt(600)).select("doc_id", w=w.unique().arr.sort().arr.join(" "), n=w.n_unique(), c=w.contains("the"))
+    return t("documents").select("doc_id", w=w.unique().arr.sort().arr.join(" "), n=w.n_unique(), c=w.contains("the"))
 
 
-@query("""SELECT doc_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS s, string_split(text, ' ')[-2] AS g, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS r FROM documents WHERE n_chars < 600 AND len(string_split(text, ' ')) > 4""")
+@query("""SELECT doc_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS s, string_split(text, ' ')[-2] AS g, array_to_string(list_reverse(string_split(text, ' ')), ' ') AS r FROM documents""")
 def arr_slice_reverse(t):
     w = col("text").str.split(" ").arr
-    return t("documents").filter(col("n_chars").lt(600), w.lengths().gt(4)).select("doc_id", s=w.slice(1, 4).arr.join(" "), g=w.get(-2), r=w.reverse().arr.join(" "))
+    return t("documents").select("doc_id", s=w.slice(1, 4).arr.join(" "), g=w.get(-2), r=w.reverse().arr.join(" "))
 
 
 @query("SELECT c_custkey, c_name || '!' AS label, c_nationkey + 1 AS k FROM customer")
@@ -582,17 +581,19 @@ def struct_fields(t):
 # ---- sources, sinks, streams
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id < 500")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def csv_roundtrip(t):
-    f = t("events").filter(col("event_id").lt(500)).select("event_id", "user_id", "event_type", "value")
-    return lf.read_csv(f.write_csv())
+    f = t("events").select("event_id", "user_id", "event_type", "value")
+    f.write_csv(path := scratch(f.df.sparkSession, "csv"))
+    return lf.scan_csv(path)
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id < 500")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def json_roundtrip(t):
-    f = t("events").filter(col("event_id").lt(500)).select("event_id", "user_id", "event_type", "value")
+    f = t("events").select("event_id", "user_id", "event_type", "value")
+    f.write_json(path := scratch(f.df.sparkSession, "json"))
     k = lf.types
-    return lf.read_json(f.write_json(format="ndjson"), format="ndjson", schema={"event_id": k.Int64, "user_id": k.Int64, "event_type": k.Utf8, "value": k.Float64})
+    return lf.scan_json(path, schema={"event_id": k.Int64, "user_id": k.Int64, "event_type": k.Utf8, "value": k.Float64})
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY ALL")

@@ -145,8 +145,8 @@ def as_text(c: Column, t: T.DataType, date_format: str | None, time_format: str
     return LT.lenient(c, t, LT.Utf8)
 
 
-def write_csv(frame: Any, path: str | None = None, *, include_header: bool = True, separator: str = ",", quote_char: str = '"', quote_style: str = "necessary", null_value: str = "", date_format: str | None = None, datetime_format: str | None = None, float_decimals: int | None = None, accounting_negatives: bool = False, include_bom: bool = False, line_terminator: str = "\n", mode: str = "error") -> str:
-    """CSV text of a frame, or with a path a folder of CSV files written in parallel (then the empty text is given).
+def write_csv(frame: Any, path: Any = None, *, include_header: bool = True, separator: str = ",", quote_char: str = '"', quote_style: str = "necessary", null_value: str = "", date_format: str | None = None, datetime_format: str | None = None, float_decimals: int | None = None, accounting_negatives: bool = False, include_bom: bool = False, line_terminator: str = "\n", mode: str = "error") -> str:
+    """CSV text of a frame (also written to `path` if that has a write method), or with a path a folder of CSV files written in parallel (then the empty text is given).
 
     quote_style: necessary, always, never, non_numeric.
     """
@@ -174,9 +174,12 @@ def write_csv(frame: Any, path: str | None = None, *, include_header: bool = Tru
     header = separator.join(head)
     lines = frame._sorted().select(F.concat_ws(separator, *cells).alias("value"))
     bom = "﻿" if include_bom else ""
-    if path is None:
+    if path is None or hasattr(path, "write"):
         rows = [r[0] for r in lines.toLocalIterator()]
-        return bom + line_terminator.join(([header] if include_header else []) + rows) + (line_terminator if rows or include_header else "")
+        text = bom + line_terminator.join(([header] if include_header else []) + rows) + (line_terminator if rows or include_header else "")
+        if path is not None:
+            path.write(text)
+        return text
     try:
         if include_header or include_bom:
             # each file begins with the header: it goes before a partition's first row

@@ -1,6 +1,7 @@
 """Exact values on small frames: nulls, NaN, ties, empty and single-row input."""
 
 import datetime
+import io
 import math
 import re
 
@@ -442,6 +443,8 @@ def test_csv(tmp_path):
     assert lf.read_csv("t\n2024-01-02 03:04:05", infer_schema=True).to_dicts() == [{"t": datetime.datetime(2024, 1, 2, 3, 4, 5)}]
     g = lf.data({"a": [1, None], "b": ['x"y', "p,q"], "c": [-1.5, 2.0]})
     assert g.write_csv() == 'a,b,c\n1,"x""y",-1.5\n,"p,q",2\n' and g.write_csv(quote_style="non_numeric", include_header=False, null_value="NA", accounting_negatives=True) == '1,"x""y",(1.5)\nNA,"p,q",2\n'
+    g.write_csv(held := io.StringIO())
+    assert held.getvalue() == g.write_csv() and one([1, None], A.join("/", value_formatter=lambda v, i: f"{i}:{v}")) == "0:1/"
     assert g.write_csv(str(tmp_path / "o")) == "" and sorted(lf.scan_csv(str(tmp_path / "o")).to_dict()["b"]) == ["p,q", 'x"y']
 
 
