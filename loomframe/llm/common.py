@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that a Python worker takes at once, besides one whole text.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts. Spark's default of 10,000 would hold as many texts of any length at once.
+BATCH_ROWS = 512
 
 
 def ship(module: str) -> None:
@@ -66,6 +68,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send BATCH_ROWS rows at most to a Python worker at once, so that long texts don't add up."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of about `most` bytes; a larger row is alone in its range."""
     start = held = 0
@@ -84,6 +93,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fn: Callable[[list], di
     fn gets a list of at most CHUNK_BYTES of UTF-8 texts, or one longer text, and gives
     a dict of Arrow arrays named as in `out`. Rows map one to one; nothing is shuffled.
     """
+    small_batches(df.sparkSession)
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     source = df.select(*kept, F.col(f"`{text}`").cast("binary").alias("text"))
     names = [f.name for f in out.fields]

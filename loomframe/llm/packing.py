@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import CHUNK_BYTES, chunks, ship
+from loomframe.llm.common import CHUNK_BYTES, chunks, ship, small_batches
 from loomframe.llm.tokens import encoder, vocabulary
 
 ship(__name__)
@@ -119,6 +119,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: in
         if window:
             yield emit()
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     return source.mapInArrow(run, schema).withColumnRenamed("doc", id_col)
 
