@@ -121,13 +121,9 @@ class Lists:
         return self._l(build)
 
     def join(self, separator: str = ",", *, ignore_nulls: bool = False, null_value: str = "", prefix: str = "", suffix: str = "", limit: int | None = None, truncation_marker: str = "...", value_formatter: Any = None):
-        """Elements as one text; value_formatter (value, index) -> text runs as an Arrow UDF."""
+        """Elements as one text; value_formatter (value, index) -> text runs as a Python UDF, which keeps the elements' types."""
         if value_formatter is not None:
-
-            @F.pandas_udf(T.ArrayType(T.StringType()))
-            def put(s):
-                return s.map(lambda v: [None if e is None else str(value_formatter(e, i)) for i, e in enumerate(v)], na_action="ignore")
-
+            put = F.udf(lambda v: None if v is None else [None if e is None else str(value_formatter(e, i)) for i, e in enumerate(v)], T.ArrayType(T.StringType()))
             rest = {"ignore_nulls": ignore_nulls, "null_value": null_value, "prefix": prefix, "suffix": suffix, "limit": limit, "truncation_marker": truncation_marker}
             return Lists(self.e._map(lambda ctx, x: put(x))).join(separator, **rest)
 
