@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomframe.llm import likeness
 from loomframe.llm.common import discard, map_texts, ship, stored
 from loomframe.llm.components import components, forest
 
@@ -138,13 +139,14 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return marks.join(labels, "fp").select("id", "fp", "component")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (of rows with the same id, any one).
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = likeness.WIDTH, least: float = likeness.LIKENESS) -> DataFrame:
+    """docs with one row of each component of texts whose shingles of `width` words have a Jaccard likeness of `least` or more.
 
-    Rows without an id can't be named by it and stay.
+    The row is that of the smallest id (of rows with the same id, any one). Rows without an id can't be named by it and stay.
     """
-    found = with_components(docs, id_col, text)
-    keep = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("__keep")).distinct()
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "rows")
+    found = likeness.roots(keyed, "text", width, least).join(keyed.select("row", "id"), "row")
+    keep = found.groupBy("root").agg(F.min("id").alias("__keep")).where("__keep is not null").select("__keep").distinct()
     chosen = docs.join(keep, F.col(f"`{id_col}`") == F.col("__keep"), "left_semi")
     return chosen.dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
