@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import free_name, map_texts, ship
+from loomframe.llm.common import free_name, map_texts, ship, stored
+from loomframe.llm.tokens import encoder, vocabulary
 
 ship(__name__)
 
@@ -49,14 +50,16 @@ class Votes(dict):
         return got
 
 
-def tokens_and_topic(texts: list, votes: Votes) -> dict:
-    """Words of each text and the topic most of its longer words vote for (the lowest among equals)."""
+def tokens_and_topic(texts: list, votes: Votes, vocab: str | None = None) -> dict:
+    """Token ids (without vocab: words) of each text and the topic most of its longer words vote for (the lowest among equals)."""
     n, topic = [], []
     for t in texts:
         w = (t or b"").lower().split()
         n.append(len(w))
         got = np.bincount(np.fromiter(map(votes.__getitem__, w), np.int64, len(w)), minlength=TOPICS + 1)[:TOPICS]
         topic.append(str(int(got.argmax())) if len(got) else "0")
+    if vocab:
+        n = [len(ids) for ids in encoder(vocab)([(t or b"").decode("utf-8", "replace") for t in texts])]
     return {"tokens": pa.array(n, pa.int64()), "topic": pa.array(topic)}
 
 
@@ -102,18 +105,22 @@ def pooled(column: str, targets: dict) -> Column:
     return F.when(c.isin([k for k in targets if k != OTHER]), c).otherwise(F.lit(OTHER))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: tuple[dict, dict, dict] = (SOURCES, LANGS, TOPIC_SHARES), share: float = SHARE, seed: int = 7) -> tuple[DataFrame, list[str]]:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: tuple[dict, dict, dict] = (SOURCES, LANGS, TOPIC_SHARES), share: float = SHARE, seed: int = 7, tokenizer: str | None = None, by_words: bool = False) -> tuple[DataFrame, list[str]]:
     """docs with four more columns, whose names are given: tokens, topic, probability, drawn (boolean).
 
-    topic: a column of docs; by default each document's longer words vote for one of TOPICS.
+    topic: a column of docs; by default each document's longer words vote for one of TOPICS. Tokens are ids of the
+    tokenizer (a vocabulary file, by default that of packing), or with by_words words between white space.
     """
     bound = int(np.prod([len({*t, OTHER}) for t in targets]))
     if bound > MAX_CELLS:
         raise ValueError(f"the targets make {bound} cells; {MAX_CELLS} is the most")
     votes = Votes()
+    vocab = None if by_words else tokenizer or vocabulary()
     keep = docs.columns
     n_tokens, made_topic, probability, drawn = (free_name(docs, c) for c in ("tokens", "topic", "probability", "drawn"))
-    counted = map_texts(docs, text, keep, lambda texts: tokens_and_topic(texts, votes), T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())])).toDF(*keep, n_tokens, made_topic)
+    counted = map_texts(docs, text, keep, lambda texts: tokens_and_topic(texts, votes, vocab), T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())])).toDF(*keep, n_tokens, made_topic)
+    if vocab:  # read twice, encoded once
+        counted = stored(counted, "counted")
     names = [source, lang, topic or made_topic]
     cells = ["__cell_source", "__cell_lang", "__cell_topic"]
     in_cells = counted.select(*[pooled(c, t).alias(a) for c, t, a in zip(names, targets, cells)], F.col(f"`{n_tokens}`").alias("n"))
@@ -139,5 +146,5 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 def op8_raked_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out, _ = mixed(docs.select("doc_id", "text", "source", "lang"))
+    out, _ = mixed(docs.select("doc_id", "text", "source", "lang"), by_words=True)
     return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", "drawn")
