@@ -394,6 +394,11 @@ def concat_horizontal(t):
     return c.hstack(o.head(n))
 
 
+@query("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) FULL JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)")
+def concat_horizontal_padded(t):
+    return t("customer").order_by("c_custkey").select("c_custkey").hstack(t("orders").order_by("o_orderkey").select("o_orderkey"), strict=False)
+
+
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def unique_subset(t):
     return t("events").order_by("event_id").unique(["user_id", "event_type"]).select("user_id", "event_type", "event_id")
