@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.llm import likeness
-from loomframe.llm.common import discard, map_texts, ship, stored
+from loomframe.llm.common import discard, free_name, map_texts, ship, stored
 from loomframe.llm.components import components, forest
 
 ship(__name__)
@@ -142,13 +142,15 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = likeness.WIDTH, least: float = likeness.LIKENESS) -> DataFrame:
     """docs with one row of each component of texts whose shingles of `width` words have a Jaccard likeness of `least` or more.
 
-    The row is that of the smallest id (of rows with the same id, any one). Rows without an id can't be named by it and stay.
+    Of a component stays the row with the smallest (id, hash of the text, internal key), ids that are null last.
     """
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "rows")
-    found = likeness.roots(keyed, "text", width, least).join(keyed.select("row", "id"), "row")
-    keep = found.groupBy("root").agg(F.min("id").alias("__keep")).where("__keep is not null").select("__keep").distinct()
-    chosen = docs.join(keep, F.col(f"`{id_col}`") == F.col("__keep"), "left_semi")
-    return chosen.dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    key = free_name(docs, "__row")
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    rows = keyed.select(F.col(key).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("hash"), "row")
+    found = likeness.roots(rows.select("row", "text"), "text", width, least).join(rows.select("row", order.alias("order")), "row")
+    keep = found.groupBy("root").agg(F.min("order").alias("order")).select(F.col("order.row").alias(key))
+    return keyed.join(keep, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_byte_index(spark, sf_dir: str) -> DataFrame:

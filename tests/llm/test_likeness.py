@@ -62,3 +62,10 @@ def test_pipeline_stage_drops_near_copies(spark):
     out = P.dedup(spark, docs, "")
     want = {rows[r].doc_id for r in slow_roots([r.text for r in rows])}
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == want
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b = "one text of some eight words or so", "another text that is not like the first"
+    data = [(1, a), (1, b), (None, "seen twice without any id at all"), (None, "seen twice without any id at all"), (None, a), (2, b)]
+    got = S.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, "seen twice without any id at all"), (1, a), (1, b)])
