@@ -47,26 +47,26 @@ def correlation(n, sx, sy, sxy) -> Column:
 def _position(df, keys, cols, order, out, lowest=True):
     w = W.partitionBy(*keys).orderBy(order) if keys else W.orderBy(order)
     x = F.col(cols[0])
-    at = df.withColumn("__at", F.row_number().over(w) - 1)
+    at = df.withColumn("__loomframe_at", F.row_number().over(w) - 1)
     ok = x.isNotNull() & (~F.isnan(x) if LT.is_float(df.schema[cols[0]].dataType) else F.lit(True))
-    key = F.when(ok, F.struct(x, "__at") if lowest else F.struct(x, (-F.col("__at")).alias("__at")))
-    pick = F.min_by("__at", key) if lowest else F.max_by("__at", key)
+    key = F.when(ok, F.struct(x, "__loomframe_at") if lowest else F.struct(x, (-F.col("__loomframe_at")).alias("__loomframe_at")))
+    pick = F.min_by("__loomframe_at", key) if lowest else F.max_by("__loomframe_at", key)
     return at.groupBy(*keys).agg(pick.cast("long").alias(out))
 
 
 def _modes(df, keys, cols, order, out):
     x = F.col(cols[0])
     t = df.schema[cols[0]].dataType
-    n = df.where(x.isNotNull() & (~F.isnan(x) if LT.is_float(t) else F.lit(True))).groupBy(*keys, cols[0]).agg(F.count(F.lit(1)).alias("__n"))
-    top = n.groupBy(*keys).agg(F.max("__n").alias("__m"))
+    n = df.where(x.isNotNull() & (~F.isnan(x) if LT.is_float(t) else F.lit(True))).groupBy(*keys, cols[0]).agg(F.count(F.lit(1)).alias("__loomframe_n"))
+    top = n.groupBy(*keys).agg(F.max("__loomframe_n").alias("__loomframe_m"))
     if keys:
-        top = top.select(*[F.col(k).alias(f"{k}__t") for k in keys], "__m")
-        cond = F.col("__n") == F.col("__m")
+        top = top.select(*[F.col(k).alias(f"{k}__t") for k in keys], "__loomframe_m")
+        cond = F.col("__loomframe_n") == F.col("__loomframe_m")
         for k in keys:
             cond = cond & F.col(k).eqNullSafe(F.col(f"{k}__t"))
         best = n.join(top, cond)
     else:
-        best = n.crossJoin(F.broadcast(top)).where("__n = __m")
+        best = n.crossJoin(F.broadcast(top)).where("__loomframe_n = __loomframe_m")
     return best.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 0, F.array_sort(F.collect_list(cols[0]))).alias(out))
 
 
@@ -74,8 +74,8 @@ def _frequencies(base):
     def special(df, keys, cols, order, out):
         x = F.col(cols[0])
         t = df.schema[cols[0]].dataType
-        n = df.where(x.isNotNull() & (~F.isnan(x) if LT.is_float(t) else F.lit(True))).groupBy(*keys, cols[0]).agg(F.count(F.lit(1)).cast("double").alias("__n"))
-        s, sl = F.sum("__n"), F.sum(F.col("__n") * F.ln("__n"))
+        n = df.where(x.isNotNull() & (~F.isnan(x) if LT.is_float(t) else F.lit(True))).groupBy(*keys, cols[0]).agg(F.count(F.lit(1)).cast("double").alias("__loomframe_n"))
+        s, sl = F.sum("__loomframe_n"), F.sum(F.col("__loomframe_n") * F.ln("__loomframe_n"))
         return n.groupBy(*keys).agg((F.greatest(F.lit(0.0), F.ln(s) - sl / s) / math.log(base)).alias(out))
 
     return special
@@ -83,13 +83,13 @@ def _frequencies(base):
 
 def _spearman(df, keys, cols, order, out):
     x, y = (LT.nan_null(F.col(c), df.schema[c].dataType) for c in cols)
-    valid = df.select(*keys, x.cast("double").alias("__x"), y.cast("double").alias("__y")).where("__x is not null and __y is not null")
+    valid = df.select(*keys, x.cast("double").alias("__loomframe_x"), y.cast("double").alias("__loomframe_y")).where("__loomframe_x is not null and __loomframe_y is not null")
 
     def rank(c):
         return F.rank().over(W.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, c)) - 1) / 2
 
-    ranked = valid.withColumns({"__rx": rank("__x"), "__ry": rank("__y")})
-    return ranked.groupBy(*keys).agg(correlation(F.count("__rx"), F.stddev_samp("__rx"), F.stddev_samp("__ry"), F.covar_samp("__rx", "__ry")).alias(out))
+    ranked = valid.withColumns({"__loomframe_rx": rank("__loomframe_x"), "__loomframe_ry": rank("__loomframe_y")})
+    return ranked.groupBy(*keys).agg(correlation(F.count("__loomframe_rx"), F.stddev_samp("__loomframe_rx"), F.stddev_samp("__loomframe_ry"), F.covar_samp("__loomframe_rx", "__loomframe_ry")).alias(out))
 
 
 class Aggregates:
@@ -293,13 +293,13 @@ def _by(df, keys, cols, order, out, lowest):
     valid = df.where(ok)
     if lowest:
         return valid.groupBy(*keys).agg(F.min_by(x, F.struct(y, F.col(order))).alias(out))
-    best = valid.groupBy(*keys).agg(F.max(y).alias("__best"))
+    best = valid.groupBy(*keys).agg(F.max(y).alias("__loomframe_best"))
     if keys:
-        best = best.select(*[F.col(k).alias(f"{k}__t") for k in keys], "__best")
-        cond = y == F.col("__best")
+        best = best.select(*[F.col(k).alias(f"{k}__t") for k in keys], "__loomframe_best")
+        cond = y == F.col("__loomframe_best")
         for k in keys:
             cond = cond & F.col(k).eqNullSafe(F.col(f"{k}__t"))
         rows = valid.join(best, cond)
     else:
-        rows = valid.crossJoin(F.broadcast(best)).where(y == F.col("__best"))
+        rows = valid.crossJoin(F.broadcast(best)).where(y == F.col("__loomframe_best"))
     return rows.groupBy(*keys).agg(F.min_by(x, F.col(order)).alias(out))

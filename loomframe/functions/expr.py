@@ -232,7 +232,7 @@ class Plan:
 
     def slot(self) -> str:
         self.n += 1
-        return f"__s{self.n}_{id(self) % 100000}"
+        return f"__loomframe_s{self.n}_{id(self) % 100000}"
 
     def need_order(self) -> Column:
         if self.order_column is None:
@@ -319,12 +319,12 @@ class Plan:
         df = self.df.withColumn(items, e.args[0].column(self.context())).withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in names]))
         # one pass, no join: a row's id is made once, before the only shuffle
         df = df.withColumn(row, F.monotonically_increasing_id())
-        each = df.select(row, whole, items, F.posexplode_outer(items).alias(at, "__element")).withColumn(ROW, F.col(at))
+        each = df.select(row, whole, items, F.posexplode_outer(items).alias(at, "__loomframe_element")).withColumn(ROW, F.col(at))
         inner = Plan(each, lambda d: (d, F.col(ROW)))
 
         def bound(n: Expr) -> Expr:
             if n.kind == "element":
-                return column("__element")
+                return column("__loomframe_element")
             return n._with(keys=(column(row),)) if n.kind in ("win", "agg") and n.keys is None else n
 
         (value,) = inner.rows([e.extra[1].replaced(bound)])
@@ -358,7 +358,7 @@ class Plan:
         if simple:
             table = base.groupBy(*keys).agg(*simple) if keys else base.agg(*simple)
         else:
-            table = base.select(*keys).distinct() if keys else base.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+            table = base.select(*keys).distinct() if keys else base.agg(F.count(F.lit(1)).alias("__loomframe_n")).drop("__loomframe_n")
         for n, out in special:
             cols = [self.slot() for _ in n.args]
             order = self.slot()

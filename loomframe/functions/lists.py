@@ -314,8 +314,8 @@ def _body(ctx: Any, x: Column, expr: Any) -> tuple[T.DataType, Any]:
     """The type of expr over x's elements, and the lambda: it is rehearsed on a real column, as lambda variables have no type yet."""
     from loomframe.functions.expr import Rehearsal, Replay
 
-    probe = ctx.df.select("*", F.explode(x).alias("__e"))
-    rehearsal = Rehearsal(probe, F.col("__e"))
+    probe = ctx.df.select("*", F.explode(x).alias("__loomframe_e"))
+    rehearsal = Rehearsal(probe, F.col("__loomframe_e"))
     out = expr.column(rehearsal)
     kind = probe.select(out).schema[0].dataType
     return kind, lambda e: expr.column(Replay(ctx, e, rehearsal.kinds))

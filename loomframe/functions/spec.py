@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column
 
 #: Hidden column that holds the order of rows, where a frame has one.
-ROW = "__row"
+ROW = "__loomframe_row"
 
 
 @dataclass(frozen=True)

@@ -34,9 +34,9 @@ def concat(items: Any, *, how: str = "vertical", strict: bool = True):
             heights = [f.height for f in frames]
             if len(set(heights)) > 1:
                 raise ShapeError(f"frames have heights {heights}")
-        sides = [indexed(f._df, "__i").drop(ROW) for f in frames]
-        made = reduce(lambda a, b: a.join(b, "__i", "inner" if strict else "full_outer"), sides)
-        return Frame(made.select(*[F.col(f"`{c}`") for c in names], F.col("__i").alias(ROW)))
+        sides = [indexed(f._df, "__loomframe_i").drop(ROW) for f in frames]
+        made = reduce(lambda a, b: a.join(b, "__loomframe_i", "inner" if strict else "full_outer"), sides)
+        return Frame(made.select(*[F.col(f"`{c}`") for c in names], F.col("__loomframe_i").alias(ROW)))
     first = frames[0].df.schema
     if how == "vertical":
         for f in frames[1:]:
@@ -54,6 +54,6 @@ def concat(items: Any, *, how: str = "vertical", strict: bool = True):
         df = f._df
         if ordered:  # rows of one frame after those of the frame before it
             df = df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
-            df = indexed(df, "__i").drop(ROW).withColumn(ROW, F.struct(F.lit(i).alias("a"), F.col("__i").alias("b"))).drop("__i")
+            df = indexed(df, "__loomframe_i").drop(ROW).withColumn(ROW, F.struct(F.lit(i).alias("a"), F.col("__loomframe_i").alias("b"))).drop("__loomframe_i")
         parts.append(df)
     return Frame(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=how == "diagonal"), parts))

@@ -176,9 +176,9 @@ class Frame:
     def with_row_index(self, name: str = "index", offset: int = 0) -> Frame:
         if name in self.columns:
             raise SchemaError(f"there is a column {name!r}")
-        df = indexed(self._df, "__index")
+        df = indexed(self._df, "__loomframe_index")
         keep = self.columns
-        return Frame(df.select((F.col("__index") + offset).alias(name), *[F.col(f"`{c}`") for c in keep], F.col("__index").alias(ROW)))
+        return Frame(df.select((F.col("__loomframe_index") + offset).alias(name), *[F.col(f"`{c}`") for c in keep], F.col("__loomframe_index").alias(ROW)))
 
     # ---- rows
 
@@ -234,8 +234,8 @@ class Frame:
             return Frame(self._df.dropDuplicates(names))
         others = [c for c in self._df.columns if c not in names]
         # the first row of a key is a partial aggregate, so a hot key is no single task's
-        first = self._df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(ROW)).alias("__first"))
-        return Frame(first.select(*[(F.col(f"`{c}`") if c in names else F.col("__first")[c].alias(c)) for c in self._df.columns]))
+        first = self._df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(ROW)).alias("__loomframe_first"))
+        return Frame(first.select(*[(F.col(f"`{c}`") if c in names else F.col("__loomframe_first")[c].alias(c)) for c in self._df.columns]))
 
     def sort(self, by: Any = None, *, descending: Any = False, nulls_last: Any = True, custom: dict[str, Callable] | None = None) -> Frame:
         """Stable sort; nulls last in both directions by default. custom: for a column a function from value to sort key, run as an Arrow UDF."""
@@ -246,7 +246,7 @@ class Frame:
         plan = self._plan()
         cols = plan.rows(exprs)
         keep = plan.df.columns if ROW in plan.df.columns else self._df.columns
-        keep = [c for c in keep if not c.startswith("__s")]
+        keep = [c for c in keep if not c.startswith("__loomframe_s")]
         order = []
         for e, c, d, z in zip(exprs, cols, down, last):
             if custom and e.name in custom:
@@ -274,9 +274,9 @@ class Frame:
         return Frame(plan.df.orderBy(*order).limit(k).select(*[F.col(f"`{c}`") for c in self._df.columns]))
 
     def reverse(self) -> Frame:
-        df = indexed(self._df, "__i")
+        df = indexed(self._df, "__loomframe_i")
         keep = [c for c in self.columns]
-        return Frame(df.select(*[F.col(f"`{c}`") for c in keep], (-F.col("__i")).alias(ROW)))
+        return Frame(df.select(*[F.col(f"`{c}`") for c in keep], (-F.col("__loomframe_i")).alias(ROW)))
 
     def limit(self, n: int, *, offset: int = 0, from_: str = "start") -> Frame:
         if n < 0 or offset < 0 or from_ not in ("start", "end"):
@@ -296,14 +296,14 @@ class Frame:
 
     def slice(self, start: int, end: int | None = None) -> Frame:
         """Rows from start up to end; negative ones count from the end."""
-        df = indexed(self._df, "__i")
+        df = indexed(self._df, "__loomframe_i")
         n = df.count() if start < 0 or (end or 0) < 0 else None
         lo = max(0, n + start) if start < 0 else start
         hi = None if end is None else max(0, n + end) if end < 0 else end
-        test = F.col("__i") >= lo
+        test = F.col("__loomframe_i") >= lo
         if hi is not None:
-            test = test & (F.col("__i") < hi)
-        return Frame(df.where(test).select(*[F.col(f"`{c}`") for c in self.columns], F.col("__i").alias(ROW)))
+            test = test & (F.col("__loomframe_i") < hi)
+        return Frame(df.where(test).select(*[F.col(f"`{c}`") for c in self.columns], F.col("__loomframe_i").alias(ROW)))
 
     # ---- groups
 
@@ -333,11 +333,11 @@ class Frame:
     def _ascending(self, key: str) -> bool:
         from pyspark.sql import Window
 
-        df = indexed(self._df, "__i").where(F.col(f"`{key}`").isNotNull())
-        runs = df.withColumn("__b", F.floor(F.col("__i") / 100_000))
-        w = Window.partitionBy("__b").orderBy("__i")
-        inside = runs.withColumn("__p", F.lag(F.col(f"`{key}`")).over(w)).where(F.col("__p") > F.col(f"`{key}`")).limit(1).count()
-        ends = [tuple(r) for r in runs.groupBy("__b").agg(F.min(f"`{key}`"), F.max(f"`{key}`")).orderBy("__b").collect()]
+        df = indexed(self._df, "__loomframe_i").where(F.col(f"`{key}`").isNotNull())
+        runs = df.withColumn("__loomframe_b", F.floor(F.col("__loomframe_i") / 100_000))
+        w = Window.partitionBy("__loomframe_b").orderBy("__loomframe_i")
+        inside = runs.withColumn("__loomframe_p", F.lag(F.col(f"`{key}`")).over(w)).where(F.col("__loomframe_p") > F.col(f"`{key}`")).limit(1).count()
+        ends = [tuple(r) for r in runs.groupBy("__loomframe_b").agg(F.min(f"`{key}`"), F.max(f"`{key}`")).orderBy("__loomframe_b").collect()]
         return not inside and all(a[2] <= b[1] for a, b in zip(ends, ends[1:]))
 
     def concat(self, *others: Any, how: str = "vertical", strict: bool = True) -> Frame:
@@ -389,12 +389,12 @@ class Frame:
     def gather(self, indices: Any) -> Frame:
         """Rows at positions, in the order given."""
         at = [indices] if isinstance(indices, int) else list(indices)
-        df = indexed(self._df, "__i")
+        df = indexed(self._df, "__loomframe_i")
         if any(i < 0 for i in at):
             n = df.count()
             at = [i + n if i < 0 else i for i in at]
         wanted = df.sparkSession.createDataFrame([(i, k) for k, i in enumerate(at)], "i long, k long")
-        return Frame(df.join(F.broadcast(wanted), F.col("__i") == F.col("i")).select(*[F.col(f"`{c}`") for c in self.columns], F.col("k").alias(ROW)))
+        return Frame(df.join(F.broadcast(wanted), F.col("__loomframe_i") == F.col("i")).select(*[F.col(f"`{c}`") for c in self.columns], F.col("k").alias(ROW)))
 
     def implode(self) -> Frame:
         return self.select(*[column(c).implode() for c in self.columns])

@@ -28,25 +28,25 @@ def explode(df: DataFrame, names: list[str], empty_as_null: bool = True, keep_nu
         df = df.where(first.isNotNull())
     if not empty_as_null:
         df = df.where(first.isNull() | (F.size(first) > 0))
-    packed = df.select("*", F.posexplode_outer(F.arrays_zip(*[F.col(f"`{n}`") for n in lists])).alias("__pos", "__item"))
-    item = {n: F.col("__item").getField(n) for n in lists}
+    packed = df.select("*", F.posexplode_outer(F.arrays_zip(*[F.col(f"`{n}`") for n in lists])).alias("__loomframe_pos", "__loomframe_item"))
+    item = {n: F.col("__loomframe_item").getField(n) for n in lists}
     out = [item[c].alias(c) if c in lists else F.col(f"`{c}`") for c in df.columns if c != ROW]
     if ROW in df.columns:
-        out.append(F.struct(F.col(ROW).alias("a"), F.col("__pos").alias("b")).alias(ROW))
+        out.append(F.struct(F.col(ROW).alias("a"), F.col("__loomframe_pos").alias("b")).alias(ROW))
     return packed.select(*out)
 
 
 def pivot(df: DataFrame, on: str, index: list[str], values: str, columns: list | None) -> DataFrame:
     """The last value in row order for each index and value of `on`; a null value of `on` is the column "null"."""
     header = F.coalesce(F.col(f"`{on}`").cast("string"), F.lit("null"))
-    t = df.select(*[F.col(f"`{i}`") for i in index], header.alias("__on"), F.col(f"`{values}`").alias("__value"), F.col(ROW))
+    t = df.select(*[F.col(f"`{i}`") for i in index], header.alias("__loomframe_on"), F.col(f"`{values}`").alias("__loomframe_value"), F.col(ROW))
     if columns is None:
-        columns = [r[0] for r in t.groupBy("__on").agg(F.min(ROW).alias("o")).orderBy("o").select("__on").collect()]
+        columns = [r[0] for r in t.groupBy("__loomframe_on").agg(F.min(ROW).alias("o")).orderBy("o").select("__loomframe_on").collect()]
     names = ["null" if c is None else str(c) for c in columns]
     clash = set(names) & set(index)
     if clash:
         raise SchemaError(f"values of {on} are called like index columns: {sorted(clash)}")
-    aggs = [F.max_by(F.struct(F.col("__value").alias("v")), F.when(F.col("__on") == c, F.col(ROW)))["v"].alias(c) for c in names]
+    aggs = [F.max_by(F.struct(F.col("__loomframe_value").alias("v")), F.when(F.col("__loomframe_on") == c, F.col(ROW)))["v"].alias(c) for c in names]
     first = t.groupBy(*[F.col(f"`{i}`") for i in index]).agg(*aggs, F.min(ROW).alias(ROW)) if index else t.agg(*aggs)
     return first
 
@@ -62,10 +62,10 @@ def unpivot(df: DataFrame, ids: list[str], on: list[str], variable: str, value:
     to = None if len(kinds) == 1 else "double" if kinds <= number and kinds & {"float", "double"} else "bigint" if kinds <= number else "string"
     cell = lambda c: F.col(f"`{c}`") if to is None else F.col(f"`{c}`").cast(to)
     items = F.array(*[F.struct(F.lit(c).alias("k"), cell(c).alias("v")) for c in on])
-    made = df.select(*[F.col(f"`{c}`") for c in ids], *([F.col(ROW)] if ROW in df.columns else []), F.posexplode(items).alias("__pos", "__item"))
-    out = [*[F.col(f"`{c}`") for c in ids], F.col("__item")["k"].alias(variable), F.col("__item")["v"].alias(value)]
+    made = df.select(*[F.col(f"`{c}`") for c in ids], *([F.col(ROW)] if ROW in df.columns else []), F.posexplode(items).alias("__loomframe_pos", "__loomframe_item"))
+    out = [*[F.col(f"`{c}`") for c in ids], F.col("__loomframe_item")["k"].alias(variable), F.col("__loomframe_item")["v"].alias(value)]
     if ROW in df.columns:
-        out.append(F.struct(F.col(ROW).alias("a"), F.col("__pos").alias("b")).alias(ROW))
+        out.append(F.struct(F.col(ROW).alias("a"), F.col("__loomframe_pos").alias("b")).alias(ROW))
     return made.select(*out)
 
 

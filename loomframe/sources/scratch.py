@@ -1,4 +1,4 @@
-"""Folders for files that come and go: under spark.checkpoint.dir, which a cluster's executors share; a local one only where that is unset."""
+"""Folders for files that come and go: under spark.checkpoint.dir, which a cluster's executors share; a local one only in local mode where that is unset."""
 
 from __future__ import annotations
 
@@ -9,5 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomframe-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path, deleted with all that is in it when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="loomframe-")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/data"
