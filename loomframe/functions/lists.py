@@ -26,12 +26,20 @@ def add_up(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, e: s + e)
 
 
-def spread(a: Column) -> Column:
+def let(value: Column, fn: Any) -> Column:
+    """fn(value) with the value computed once: what a lambda uses from outside is computed for every element, unless it is a variable itself."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def spread(values: Column) -> Column:
     """Sample variance, 0 of fewer than two."""
-    n = F.size(a)
-    mean = add_up(a) / F.greatest(n, F.lit(1))
-    square = F.aggregate(F.transform(a, lambda e: (e - mean) * (e - mean)), F.lit(0.0), lambda s, e: s + e)
-    return F.when(n <= 1, F.lit(0.0)).otherwise(square / F.greatest(n - 1, F.lit(1)))
+
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        square = let(add_up(a) / F.greatest(n, F.lit(1)), lambda mean: F.aggregate(a, F.lit(0.0), lambda s, e: s + (e - mean) * (e - mean)))
+        return F.when(n <= 1, F.lit(0.0)).otherwise(square / F.greatest(n - 1, F.lit(1)))
+
+    return let(values, of)
 
 
 class Lists:
@@ -72,10 +80,10 @@ class Lists:
         return self._item(lambda x, y: F.exists(x, lambda e: e.eqNullSafe(y)), item)
 
     def contains_all(self, items):
-        return self._l(lambda x, t, y: F.forall(y.cast(t), lambda i: F.exists(x, lambda e: e.eqNullSafe(i))), list(items) if not hasattr(items, "_map") else items)
+        return self._l(lambda x, t, y: let(x, lambda v: F.forall(y.cast(t), lambda i: F.exists(v, lambda e: e.eqNullSafe(i)))), list(items) if not hasattr(items, "_map") else items)
 
     def contains_any(self, items):
-        return self._l(lambda x, t, y: F.exists(y.cast(t), lambda i: F.exists(x, lambda e: e.eqNullSafe(i))), list(items) if not hasattr(items, "_map") else items)
+        return self._l(lambda x, t, y: let(x, lambda v: F.exists(y.cast(t), lambda i: F.exists(v, lambda e: e.eqNullSafe(i)))), list(items) if not hasattr(items, "_map") else items)
 
     def count_matches(self, item):
         return self._item(lambda x, y: F.size(F.filter(x, lambda e: e.eqNullSafe(y))), item)
@@ -98,7 +106,7 @@ class Lists:
 
     def gather(self, indices: Any, null_on_oob: bool = True):
         many = [indices] if isinstance(indices, int) else indices
-        return self._l(lambda x, t, y: F.transform(y, lambda i: _at(x, i, null_on_oob)), list(many) if not hasattr(many, "_map") else many)
+        return self._l(lambda x, t, y: let(x, lambda v: F.transform(y, lambda i: _at(v, i, null_on_oob))), list(many) if not hasattr(many, "_map") else many)
 
     def gather_every(self, step: int = 1, *, offset_start: int = 0, offset_end: int = 0, max_items: int | None = None):
         """Every step-th element from offset_start, up to offset_end before the end; negative steps go from the end. A start outside the list gives null."""
@@ -118,7 +126,7 @@ class Lists:
                 out = F.slice(out, F.lit(1), F.lit(max_items))
             return F.when((start < 0) | (start >= n), F.lit(None)).when(some, out).otherwise(F.slice(x, 1, 0))
 
-        return self._l(build)
+        return self._l(lambda x, t: let(x, lambda v: build(v, t)))
 
     def join(self, separator: str = ",", *, ignore_nulls: bool = False, null_value: str = "", prefix: str = "", suffix: str = "", limit: int | None = None, truncation_marker: str = "...", value_formatter: Any = None):
         """Elements as one text; value_formatter (value, index) -> text runs as a Python UDF, which keeps the elements' types."""
@@ -147,23 +155,24 @@ class Lists:
 
     def sum(self):
         def build(x, t):
-            a = numbers(x, t)
-            s = add_up(a)
-            return F.when(F.size(a) > 0, s.cast("long") if isinstance(t.elementType, LT.INT_TYPES) else s)
+            def of(a):
+                s = add_up(a)
+                return F.when(F.size(a) > 0, s.cast("long") if isinstance(t.elementType, LT.INT_TYPES) else s)
+
+            return let(numbers(x, t), of)
 
         return self._l(build)
 
     def mean(self):
-        return self._l(lambda x, t: F.try_divide(add_up(numbers(x, t)), F.size(numbers(x, t))))
+        return self._l(lambda x, t: let(numbers(x, t), lambda a: F.try_divide(add_up(a), F.size(a))))
 
     def median(self):
-        def build(x, t):
-            a = F.array_sort(numbers(x, t))
+        def of(a):
             n = F.size(a)
             half = F.floor(n / 2).cast("int")
             return F.when(n == 0, F.lit(None).cast("double")).when(n % 2 == 1, F.get(a, half)).otherwise((F.get(a, half - 1) + F.get(a, half)) / 2)
 
-        return self._l(build)
+        return self._l(lambda x, t: let(F.array_sort(numbers(x, t)), of))
 
     def std(self):
         return self._l(lambda x, t: F.sqrt(spread(numbers(x, t))))
@@ -174,15 +183,22 @@ class Lists:
     def mode(self):
         """Sorted list of all most frequent elements; null of none."""
 
-        def build(x, t):
-            a = elements(x, t)
-            n = F.transform(F.array_distinct(a), lambda v: F.struct(F.size(F.filter(a, lambda e: e == v)).alias("n"), v.alias("v")))
-            top = F.array_max(F.transform(n, lambda s: s["n"]))
-            return F.when(F.size(a) > 0, F.array_sort(F.transform(F.filter(n, lambda s: s["n"] == top), lambda s: s["v"])))
+        def runs(a):
+            """The first places of equal elements of a sorted list, and its length after the last."""
+            return F.concat(F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1))), F.array(F.size(a)))
 
-        return self._l(build)
+        def most(a, at):
+            sizes = F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.struct((F.get(at, k + 1) - F.get(at, k)).alias("n"), F.get(at, k).alias("i")))
+            return let(sizes, lambda s: let(F.array_max(F.transform(s, lambda r: r["n"])), lambda top: F.transform(F.filter(s, lambda r: r["n"] == top), lambda r: F.get(a, r["i"]))))
+
+        return self._l(lambda x, t: let(F.array_sort(elements(x, t)), lambda a: F.when(F.size(a) > 0, let(runs(a), lambda at: most(a, at)))))
+
+    def n_unique(self, key=None):
+        """Different elements, null one of them; key: a function of an element's expression whose values are counted instead."""
+        if key is not None:
+            from loomframe.functions import element
 
-    def n_unique(self):
+            return self.eval(key(element())).arr.n_unique()
         return self._l(lambda x, t: F.size(F.array_distinct(x)))
 
     def unique(self):

@@ -13,8 +13,9 @@ from loomframe import types as LT
 from loomframe.errors import InvalidArgumentError
 
 WHITE = r"\s\u00a0\ufeff\u2028\u2029\u1680\u2000-\u200a\u202f\u205f\u3000"
-#: Parts of identifiers, the first that fits: plural acronyms, acronyms before a capitalised word, capitalised words, lower case, digits, other scripts.
-WORD = r"\p{Lu}+s(?!\p{Ll})|\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}+\p{Ll}*|\p{Ll}+|\p{N}+|\p{L}+"
+#: Where an identifier breaks: at whatever is no letter or digit, between letters and digits, before a capital that follows a small letter, and
+#: before the last capital of several that a small letter follows, unless that is the s of a plural (URLs).
+BREAK = r"[^\p{L}\p{N}]+|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}(?!s(?!\p{Ll}))\p{Ll})"
 #: Directives of strftime and strptime and their patterns.
 DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "e": "d", "H": "HH", "I": "hh", "p": "a", "M": "mm", "S": "ss", "j": "DDD", "z": "xx", "ms": "SSS", "f": "SSSSSS", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm", "D": "MM/dd/yy", "Z": "zzz", "%": "%"}
 
@@ -321,7 +322,7 @@ class Strings:
     def _words(self, fn):
         def build(x):
             plain = F.regexp_replace(x, r"(\p{L})['’](\p{L})", "$1$2")
-            words = F.filter(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), lambda w: ~w.isin("__proto__", "proto", "constructor", "prototype"))
+            words = F.filter(F.split(plain, BREAK), lambda w: w != "")
             return F.when(x.isNotNull(), fn(words))
 
         return self._s(build)

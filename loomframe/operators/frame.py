@@ -1,4 +1,9 @@
-"""Frame: a Spark DataFrame with the expression API. Every method gives a new frame; nothing runs before rows are asked for."""
+"""Frame: a Spark DataFrame with the expression API. Every method gives a new frame.
+
+Nothing runs before rows are asked for, with these exceptions, which have to know rows to make their plan: row positions (`with_row_index`, `slice`,
+`reverse`, `gather`, `item`, horizontal concat, `row_number` without `over`) store the ordered rows, as-of joins count the left side, `pivot` without
+`columns` finds them, negative positions need the height, `transpose` and `arr.to_struct` read what becomes columns.
+"""
 
 from __future__ import annotations
 
@@ -183,7 +188,11 @@ class Frame:
     # ---- rows
 
     def filter(self, *predicates: Any) -> Frame:
-        """Rows for which every predicate is true. A Python function of a row (a dict) runs as an Arrow UDF."""
+        """Rows for which every predicate is true.
+
+        A Python function of a row (a dict) is called row by row in Python workers: tens of times slower than an expression, and
+        nothing of it reaches the scan. It sees NaN as None.
+        """
         out = self
         calls = [p for p in flat(predicates) if callable(p) and not isinstance(p, Expr)]
         exprs = [x for p in flat(predicates) if not (callable(p) and not isinstance(p, Expr)) for x in expanded(named(p), self.df.schema)]
@@ -353,10 +362,11 @@ class Frame:
 
     # ---- shape
 
-    def explode(self, columns: Any, *, empty_as_null: bool = True, keep_nulls: bool = True) -> Frame:
+    def explode(self, columns: Any, *, empty_as_null: bool = True, keep_nulls: bool = True, position: str | None = None) -> Frame:
+        """A row for each element of the lists; position names a new column of their places, from 0."""
         names = [c if isinstance(c, str) else c.name for c in flat([columns])]
         self._need(names)
-        return Frame(reshape.explode(self._df, names, empty_as_null, keep_nulls))
+        return Frame(reshape.explode(self._df, names, empty_as_null, keep_nulls, position))
 
     def unnest(self, *columns: str) -> Frame:
         return self.select(*[column(c).struct.unnest() if c in columns else column(c) for c in self.columns])

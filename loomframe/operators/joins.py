@@ -14,6 +14,8 @@ from loomframe.errors import ColumnNotFoundError, InvalidArgumentError, SchemaEr
 from loomframe.functions.spec import ROW
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full_outer", "full": "full_outer", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
+#: Left rows for each bucket of an as-of join, and the most buckets.
+BUCKET_ROWS, MAX_BUCKETS = 500_000, 4096
 ORDERS = ("none", "left", "right", "left_right", "right_left")
 
 
@@ -94,7 +96,14 @@ def join(l: DataFrame, r: DataFrame, *, on: Any = None, left_on: Any = None, rig
     if merge:  # key columns go by their left name
         lnames |= {c: c for c in left if c not in rnames.values()}
     at = dict(zip(left, right))
-    out = [(F.coalesce(L[c], R[at[c]]) if merge and c in at else L[c]).alias(lnames[c]) for c in lcols]
+
+    def key(c: str):
+        """A merged key: both sides' only where either may lack it, else that of the side all rows have, whose partitioning the next operator can use."""
+        if l.schema[c].dataType != r.schema[at[c]].dataType or HOW[how] == "full_outer":
+            return F.coalesce(L[c], R[at[c]])
+        return R[at[c]] if how == "right" else L[c]
+
+    out = [(key(c) if merge and c in at else L[c]).alias(lnames[c]) for c in lcols]
     out += [R[c].alias(rnames[c]) for c in rcols if c not in dropped]
     lrow = F.col("lrow") if lr else F.lit(0).cast("long")
     rrow = F.col("rrow") if rr else F.lit(0).cast("long")
@@ -112,9 +121,9 @@ def join_asof(l: DataFrame, r: DataFrame, *, on: Any = None, left_on: Any = None
     """Each left row with the nearest right row at or before it (backward), after it (forward) or either (nearest; of equals the one before).
 
     Both sides are united and sorted once by (by, on); the last right row seen is carried over the left
-    rows, so no pair of rows is ever formed. The sort is cut into `buckets` ranges of `on` (approximate quantiles of the left side; 64
-    without `by`, else 1), each a task's work, so that one hot key or no key at all is no single task's; what a bucket
-    ends with is carried into the next ones by a summary of a row for each bucket. Give buckets where a `by` key is hot.
+    rows, so no pair of rows is ever formed. The sort is cut into `buckets` ranges of `on` (approximate quantiles of the left side; by default
+    one for BUCKET_ROWS left rows, which are counted first), each a task's work, so that one hot key or no key at all is no single task's; what a bucket
+    ends with is carried into the next ones by a summary of a row for each bucket.
     """
     if strategy not in ("backward", "forward", "nearest"):
         raise InvalidArgumentError("strategy is backward, forward or nearest")
@@ -136,14 +145,15 @@ def join_asof(l: DataFrame, r: DataFrame, *, on: Any = None, left_on: Any = None
     both = left.unionByName(right)
     is_left = F.col("l").isNotNull()
 
-    cuts = _cuts(l2, lk, t, buckets if buckets is not None else 1 if bys else 64)
+    cuts = _cuts(l2, lk, t, buckets if buckets is not None else min(MAX_BUCKETS, -(-l2.count() // BUCKET_ROWS)))
     bucket = F.size(F.filter(F.array(*cuts), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
     both = both.withColumn("bucket", F.when(F.col("k").isNull(), F.lit(-1)).otherwise(bucket))
     rkey = f"r{rcols.index(rk)}"
 
     def carried(df: DataFrame, forward: bool, out: str) -> DataFrame:
         """df with the last right row before (the first after) each left row, equal keys counted if they may."""
-        right_first = allow_exact_matches != forward
+        # nearest prefers an equal key before to one after, so both of its windows can have the order of the first, and one sort does
+        right_first = True if strategy == "nearest" and allow_exact_matches else allow_exact_matches != forward
         side = F.when(is_left, F.lit(1 if right_first else 0)).otherwise(F.lit(0 if right_first else 1))
         w = W.partitionBy(*bys, "bucket").orderBy(F.asc_nulls_first("k"), side, F.asc("o"))
         if forward:
@@ -193,7 +203,7 @@ def _cuts(df: DataFrame, key: str, t: T.DataType, buckets: int) -> list:
         return []
     c = F.col(f"`{key}`")
     asked = [i / buckets for i in range(1, buckets)]
-    got = df.select(F.percentile_approx(c.cast("timestamp_ntz") if isinstance(t, T.DateType) else c, asked, 1000)).first()[0]
+    got = df.select(F.percentile_approx(c.cast("timestamp_ntz") if isinstance(t, T.DateType) else c, asked, max(1000, 4 * buckets))).first()[0]
     return [F.lit(v).cast("timestamp_ntz" if LT.is_time(t) and not isinstance(t, T.TimestampType) else t) for v in sorted(set(got or []))]
 
 

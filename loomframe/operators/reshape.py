@@ -12,8 +12,14 @@ from loomframe.errors import InvalidArgumentError, SchemaError, ShapeError
 from loomframe.functions.spec import ROW
 
 
-def explode(df: DataFrame, names: list[str], empty_as_null: bool = True, keep_nulls: bool = True) -> DataFrame:
-    """A row for each element of the lists in `names`, which have one length in each row; columns that are no lists stay."""
+#: Most columns that a pivot finds for itself: each is an aggregate of its own.
+MAX_PIVOT = 10_000
+
+
+def explode(df: DataFrame, names: list[str], empty_as_null: bool = True, keep_nulls: bool = True, position: str | None = None) -> DataFrame:
+    """A row for each element of the lists in `names`, which have one length in each row; columns that are no lists stay. position: a new column of places in the list, from 0."""
+    if position in df.columns:
+        raise SchemaError(f"there is a column {position!r}")
     lists = [n for n in names if isinstance(df.schema[n].dataType, T.ArrayType)]
     if not lists:
         return df
@@ -28,9 +34,17 @@ def explode(df: DataFrame, names: list[str], empty_as_null: bool = True, keep_nu
         df = df.where(first.isNotNull())
     if not empty_as_null:
         df = df.where(first.isNull() | (F.size(first) > 0))
-    packed = df.select("*", F.posexplode_outer(F.arrays_zip(*[F.col(f"`{n}`") for n in lists])).alias("__loomframe_pos", "__loomframe_item"))
-    item = {n: F.col("__loomframe_item").getField(n) for n in lists}
-    out = [item[c].alias(c) if c in lists else F.col(f"`{c}`") for c in df.columns if c != ROW]
+    one = len(lists) == 1
+    made = first if one else F.arrays_zip(*[F.col(f"`{n}`") for n in lists])
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in lists]
+    if ROW in df.columns or position:
+        packed = df.select(*keep, F.posexplode_outer(made).alias("__loomframe_pos", "__loomframe_item"))
+    else:
+        packed = df.select(*keep, F.explode_outer(made).alias("__loomframe_item"))
+    cell = F.col("__loomframe_item")
+    out = [(cell if one else cell.getField(c)).alias(c) if c in lists else F.col(f"`{c}`") for c in df.columns if c != ROW]
+    if position:
+        out.append(F.col("__loomframe_pos").cast("long").alias(position))
     if ROW in df.columns:
         out.append(F.struct(F.col(ROW).alias("a"), F.col("__loomframe_pos").alias("b")).alias(ROW))
     return packed.select(*out)
@@ -41,7 +55,9 @@ def pivot(df: DataFrame, on: str, index: list[str], values: str, columns: list |
     header = F.coalesce(F.col(f"`{on}`").cast("string"), F.lit("null"))
     t = df.select(*[F.col(f"`{i}`") for i in index], header.alias("__loomframe_on"), F.col(f"`{values}`").alias("__loomframe_value"), F.col(ROW))
     if columns is None:
-        columns = [r[0] for r in t.groupBy("__loomframe_on").agg(F.min(ROW).alias("o")).orderBy("o").select("__loomframe_on").collect()]
+        columns = [r[0] for r in t.groupBy("__loomframe_on").agg(F.min(ROW).alias("o")).orderBy("o").select("__loomframe_on").limit(MAX_PIVOT + 1).collect()]
+        if len(columns) > MAX_PIVOT:
+            raise ShapeError(f"{on} has over {MAX_PIVOT} values; give `columns`")
     names = ["null" if c is None else str(c) for c in columns]
     clash = set(names) & set(index)
     if clash:

@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import loomframe as lf
-from loomframe import Frame, col, element, lit, when
+from loomframe import col, element, lit, when
+from loomframe.plans.register import ORACLES, QUERIES, query
 from loomframe.sources.scratch import scratch
 from loomframe.streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function of a table loader as a query, with its SQL."""
-
-    def put(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = fn(lambda name: Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
-            return out.df if isinstance(out, Frame) else out
-
-        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-        QUERIES[fn.__name__] = run
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return put
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # ---- filter, project
@@ -387,15 +367,8 @@ def concat_diagonal(t):
     return lf.concat([e.filter(col("value").gt(90)).select("event_id", "value"), e.filter(col("value").lt(10)).select("event_id", "user_id")], how="diagonal")
 
 
-@query("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)")
-def concat_horizontal(t):
-    c, o = t("customer").order_by("c_custkey").select("c_custkey"), t("orders").order_by("o_orderkey").select("o_orderkey")
-    n = c.height
-    return c.hstack(o.head(n))
-
-
 @query("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) FULL JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)")
-def concat_horizontal_padded(t):
+def concat_horizontal(t):
     return t("customer").order_by("c_custkey").select("c_custkey").hstack(t("orders").order_by("o_orderkey").select("o_orderkey"), strict=False)
 
 
@@ -406,9 +379,7 @@ def unique_subset(t):
 
 @query("SELECT doc_id, pos - 1 AS pos, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents)")
 def explode_words(t):
-    f = t("documents").select("doc_id", w=col("text").str.split(" "))
-    f = f.with_columns(pos=lf.Expr(lambda ctx, x: F.transform(x, lambda e, i: i.cast("bigint")), (col("w"),)))
-    return f.explode(["w", "pos"]).select("doc_id", "pos", "w")
+    return t("documents").select("doc_id", w=col("text").str.split(" ")).explode("w", position="pos").select("doc_id", "pos", "w")
 
 
 @query("SELECT conv_id, string_agg(role || ':' || length(text)::VARCHAR, '|' ORDER BY turn) AS turns, count(*) AS n FROM conversations GROUP BY 1")
@@ -610,3 +581,6 @@ def stream_tumbling(t):
 SELECT min(ts) AS window_start, max(ts) + INTERVAL 12 HOUR AS window_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(t):
     return windows.sessions(t("events").df, "ts", "12 hours", ["user_id"], {"n": F.count(F.lit(1))})
+
+
+from loomframe.plans import wider  # noqa: E402, F401 (registers its queries)

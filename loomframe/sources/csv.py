@@ -131,7 +131,46 @@ def scan_csv(path: str, *, has_header: bool = True, separator: str = ",", quote_
     return Frame(typed(df) if infer_schema else df)
 
 
-def as_text(c: Column, t: T.DataType, date_format: str | None, time_format: str | None, decimals: int | None, accounting: bool) -> Column:
+#: Decimal mark and grouping mark of the locales that write_csv knows.
+LOCALES = {"en-US": (".", ","), "en-GB": (".", ","), "de-DE": (",", "."), "es-ES": (",", "."), "it-IT": (",", "."), "fr-FR": (",", "\u202f"), "de-CH": (".", "\u2019")}
+
+
+def number_text(c: Column, t: T.DataType, style: dict) -> Column:
+    """A number as text. style: decimals (exactly so many), min_decimals and max_decimals (trailing zeros go), grouping, percent, currency (a sign), locale, accounting, fallback (for NaN)."""
+    unknown = set(style) - {"decimals", "min_decimals", "max_decimals", "grouping", "percent", "currency", "locale", "accounting", "fallback"}
+    if unknown or style.get("locale", "en-US") not in LOCALES:
+        raise InvalidArgumentError(f"no number format {sorted(unknown) or style['locale']}")
+    point, comma = LOCALES[style.get("locale", "en-US")]
+    real = LT.is_float(t) or isinstance(t, T.DecimalType)
+    low, high = (style["decimals"],) * 2 if style.get("decimals") is not None else (style.get("min_decimals", 0), style.get("max_decimals"))
+    v = F.abs(c) if style.get("accounting") else c
+    v = v * 100 if style.get("percent") else v
+    plain = not (real or style.get("percent")) and not low
+    if style.get("grouping") or not plain and high is not None:
+        # halves are rounded away from zero before Spark's own formatting, which would take the even digit
+        digits = 0 if plain else high if high is not None else 20
+        s = F.format_number(v.cast("long") if plain else F.round(v.cast("decimal(38,18)"), digits) if digits <= 18 else v.cast("double"), digits)
+        if digits > low:  # zeros at the end go, as far as min_decimals
+            s = F.regexp_replace(s, rf"(\.\d{{{low}}}\d*?)0+$", "$1")
+            s = F.regexp_replace(s, r"\.$", "")
+    else:
+        s = LT.lenient(v, v_type(t, style), LT.Utf8)
+    marks = comma if style.get("grouping") else ""
+    s = F.replace(F.replace(F.replace(s, F.lit(","), F.lit("\u0001")), F.lit("."), F.lit(point)), F.lit("\u0001"), F.lit(marks))
+    if style.get("currency"):
+        s = F.when(v < 0, F.concat(F.lit("-" + style["currency"]), F.substring(s, F.lit(2), F.length(s)))).otherwise(F.concat(F.lit(style["currency"]), s))
+    if style.get("percent"):
+        s = F.concat(s, F.lit("%"))
+    if style.get("accounting"):
+        s = F.when(c < 0, F.concat(F.lit("("), s, F.lit(")"))).otherwise(s)
+    return F.when(F.isnan(c), F.lit(style.get("fallback", "NaN"))).otherwise(s) if LT.is_float(t) else s
+
+
+def v_type(t: T.DataType, style: dict) -> T.DataType:
+    return T.DoubleType() if style.get("percent") and LT.is_float(t) else t
+
+
+def as_text(c: Column, t: T.DataType, date_format: str | None, time_format: str | None, style: dict) -> Column:
     from loomframe.functions.strings import datetime_pattern
 
     if isinstance(t, T.DateType):
@@ -139,19 +178,18 @@ def as_text(c: Column, t: T.DataType, date_format: str | None, time_format: str
     if LT.is_time(t):
         return F.date_format(c, datetime_pattern(time_format) if time_format else "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     if LT.is_number(t):
-        v = F.abs(c) if accounting else c
-        s = F.format_string(f"%.{decimals}f", v.cast("double")) if decimals is not None and (LT.is_float(t) or isinstance(t, T.DecimalType)) else LT.lenient(v, t, LT.Utf8)
-        return F.when(c < 0, F.concat(F.lit("("), s, F.lit(")"))).otherwise(s) if accounting else s
+        return number_text(c, t, style) if style else LT.lenient(c, t, LT.Utf8)
     return LT.lenient(c, t, LT.Utf8)
 
 
-def write_csv(frame: Any, path: Any = None, *, include_header: bool = True, separator: str = ",", quote_char: str = '"', quote_style: str = "necessary", null_value: str = "", date_format: str | None = None, datetime_format: str | None = None, float_decimals: int | None = None, accounting_negatives: bool = False, include_bom: bool = False, line_terminator: str = "\n", mode: str = "error") -> str:
+def write_csv(frame: Any, path: Any = None, *, include_header: bool = True, separator: str = ",", quote_char: str = '"', quote_style: str = "necessary", null_value: str = "", date_format: str | None = None, datetime_format: str | None = None, float_decimals: int | None = None, accounting_negatives: bool = False, number_format: dict | None = None, include_bom: bool = False, line_terminator: str = "\n", mode: str = "error") -> str:
     """CSV text of a frame (also written to `path` if that has a write method), or with a path a folder of CSV files written in parallel (then the empty text is given).
 
-    quote_style: necessary, always, never, non_numeric.
+    quote_style: necessary, always, never, non_numeric. number_format: see number_text; float_decimals and accounting_negatives are short for two of its entries.
     """
     if quote_style not in ("necessary", "always", "never", "non_numeric"):
         raise InvalidArgumentError("quote_style is necessary, always, never or non_numeric")
+    style = {**({"accounting": True} if accounting_negatives else {}), **(number_format or {})}
     schema = frame.df.schema
     special = "[" + "".join("\\" + c if not c.isalnum() else c for c in {separator[0], quote_char}) + r"\r\n]"
 
@@ -160,7 +198,8 @@ def write_csv(frame: Any, path: Any = None, *, include_header: bool = True, sepa
 
     cells = []
     for f in schema.fields:
-        s = as_text(F.col(f"`{f.name}`"), f.dataType, date_format, datetime_format, float_decimals, accounting_negatives)
+        real = float_decimals is not None and (LT.is_float(f.dataType) or isinstance(f.dataType, T.DecimalType))
+        s = as_text(F.col(f"`{f.name}`"), f.dataType, date_format, datetime_format, {**style, **({"decimals": float_decimals} if real else {})})
         number = LT.is_number(f.dataType)
         if quote_style == "always" or quote_style == "non_numeric" and not number:
             s = quoted(s)
