@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that a Python worker takes at once, besides one whole text.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch of texts. Spark's default of 10,000 would hold as many texts of any length at once.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch that Spark sends to a worker, besides one whole row. Rows alone are no bound, as texts have any length.
+BATCH_BYTES = 8 << 20
 
 
 def ship(module: str) -> None:
@@ -29,21 +29,41 @@ ship(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset and Spark runs in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
-        found = tempfile.mkdtemp(prefix="loomframe-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomframe-"))
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that is not there yet; what will be in it goes when the application ends, or with `discard_path`."""
+    fs, at = _path(spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{at.toString()}/data"
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete what new_path gave."""
+    fs, at = _path(spark, path.removesuffix("/data"))
+    fs.delete(at, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -55,9 +75,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_stored_at", None)
         if path:
-            spark = t.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            discard_path(t.sparkSession, path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -69,10 +87,13 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have the session send BATCH_ROWS rows at most to a Python worker at once, so that long texts don't add up."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Have the session send BATCH_BYTES at most to a Python worker at once, so that long texts don't add up.
+
+    This lowers spark.sql.execution.arrow.maxBytesPerBatch for the whole session, as Spark reads it when a result is asked for.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

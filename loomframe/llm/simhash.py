@@ -1,19 +1,26 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint has eight positional bytes. Fingerprints that differ in at most two bits
-share at least six of them: the guaranteed minimum. The index therefore lists each distinct
-fingerprint under its 28 choices of six positional bytes; two fingerprints meet in a list exactly
-if their tally of shared positional bytes reaches six. (Lists of single bytes, of which there are
-2,048, would hold a 256th of all fingerprints each and tally a number of pairs that grows with the
-square of the corpus.) Inside a list the pairs' shared bytes are tallied and the pairs kept by the
-count are verified bit by bit. A list holds at most 65,536 different fingerprints, as two bytes are
-free; in a long list the verified links are found without forming pairs: fingerprints at most two
+A 64-bit fingerprint has eight positional bytes. Fingerprints that differ in at most two bits share at least six of
+them: the guaranteed minimum. The bytes stand in four pairs, and two differing bytes leave two pairs whole, so every
+distinct fingerprint is listed under its six choices of two pairs. The members of a list are candidates: each pair's
+shared positional bytes are tallied over all eight, pairs that reach six are kept, and those are verified bit by
+bit. (Lists of single bytes, of which there are 2,048, would hold a 256th of all fingerprints each and tally a number of
+pairs that grows with the square of the corpus.)
+
+A hot list, of more than PAIRWISE members, is split by the choices of two of the four bytes outside its key: at most two of those
+differ, so every link is in one of its six parts. A part's key is six shared bytes, the guaranteed minimum itself, and two
+bytes are free, so it holds 65,536 members at most. In a long part the verified links are found without forming pairs: fingerprints at most two
 bits apart have a common neighbour at most one bit from each, and all that are at most one bit from
 the same value are at most two bits apart. Both ways find the same components; each list gives a
 spanning forest of its verified links.
 
 Exact copies are one fingerprint, so hot groups of copies meet the index once. Documents are
-matched to their components by a join on the fingerprint, which AQE splits where it is skewed.
+matched to their components by a join on the fingerprint; the labels' side has each fingerprint once, and AQE splits the documents' side where
+one fingerprint (as that of the empty text) is hot.
+
+Defined results: null and blank texts have fingerprint 0 and link like any other; ties do not arise, as a component is named by its smallest id; repeated
+rows, and rows with the same id, are kept; a null id names a component only where all its ids are null; a very long text is read whole, alone
+in its chunk; an empty table gives an empty result. Only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.llm import likeness
-from loomframe.llm.common import discard, free_name, map_texts, ship, stored
+from loomframe.llm.common import discard, free_name, map_texts, ship, small_batches, stored
 from loomframe.llm.components import components, forest
 
 ship(__name__)
@@ -38,8 +45,11 @@ SEED = 42
 MAX_BITS = 2
 BYTES = 8
 SHARED = BYTES - MAX_BITS
-#: Up to this many fingerprints a list's pairs are tallied one by one.
-PAIRWISE = 64
+#: The four pairs of positional bytes, and the lists of a fingerprint: its choices of two pairs.
+PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7))
+KEYS = [(*a, *b) for a, b in combinations(PAIRS, 2)]
+#: Members of a list whose pairs are tallied one by one; longer lists are hot.
+PAIRWISE = 256
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -78,15 +88,23 @@ def fingerprint(texts: list, k: int = SHINGLE_WORDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def tallied(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of one list's fingerprints and how many of the eight positional bytes each shares."""
+    i, j = np.triu_indices(len(u), 1)
+    return i, j, ((u[i] ^ u[j]).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
 def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among the fingerprints of one list: pairs that share SHARED bytes and differ in MAX_BITS bits at most."""
+    """Spanning links among the fingerprints of one list: pairs that share SHARED bytes and differ in MAX_BITS bits at most.
+
+    More than PAIRWISE fingerprints share SHARED bytes already, those of the list's key.
+    """
     u = np.unique(fps.view(np.uint64))
     if len(u) <= PAIRWISE:
-        i, j = np.triu_indices(len(u), 1)
-        x = u[i] ^ u[j]
-        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        near = tally >= SHARED
-        near[near] = np.bitwise_count(x[near]) <= MAX_BITS
+        i, j, tally = tallied(u)
+        enough = tally >= SHARED
+        i, j = i[enough], j[enough]
+        near = np.bitwise_count(u[i] ^ u[j]) <= MAX_BITS
         i, j = i[near], j[near]
     else:
         free = np.bitwise_or.reduce(u ^ u[0])
@@ -105,29 +123,48 @@ def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[a].view(np.int64), u[b].view(np.int64)
 
 
+def mask(positions: tuple) -> int:
+    """The bits of some positional bytes, as a signed long."""
+    m = sum(0xFF << 8 * p for p in positions)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def listed(fps: DataFrame, most: int | None = None) -> DataFrame:
+    """(fps) of each list of two members or more. fps: distinct fingerprints in column fp."""
+    most = PAIRWISE if most is None else most
+    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("key"), F.col("fp").bitwiseAND(F.lit(mask(k))).alias("shared")) for i, k in enumerate(KEYS)])
+    posted = fps.select("fp", F.explode(keys).alias("l")).select("l.key", "l.shared", "fp")
+    sizes = posted.groupBy("key", "shared").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = posted.join(sizes, ["key", "shared"])
+    parts = F.lit(None)
+    for i, k in enumerate(KEYS):
+        more = [mask((*k, *two)) for two in combinations([p for p in range(BYTES) if p not in k], 2)]
+        inner = F.array(*[F.struct(F.lit(1 + j).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for j, m in enumerate(more)])
+        parts = F.when(F.col("key") == i, inner).otherwise(parts)
+    whole = F.array(F.struct(F.lit(0).cast("byte").alias("part"), F.col("shared").alias("bytes")))
+    cut = met.select("key", F.explode(F.when(F.col("n") > most, parts).otherwise(whole)).alias("p"), "fp")
+    # one column as the key: a hot list's parts are dealt anew instead of staying where the list was counted
+    lists = cut.groupBy(F.struct("key", "p.part", "p.bytes").alias("list")).agg(F.collect_list("fp").alias("fps"))
+    return lists.where(F.size("fps") > 1).select("fps")
+
+
 def index_links(fps: DataFrame) -> DataFrame:
     """Spanning links (a, b) of the distinct fingerprints in column fp."""
-    kept = [sum(0xFF << 8 * p for p in c) for c in combinations(range(BYTES), SHARED)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in kept]
-    lists = F.array(*[F.struct(F.lit(i).cast("byte").alias("positions"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(signed)])
-    posted = fps.select("fp", F.explode(lists).alias("l")).select("l.positions", "l.shared", "fp")
-    lists = posted.groupBy("positions", "shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches):
         for batch in batches:
-            found = [linked(np.asarray(v, np.int64)) for v in batch.column(0).to_pylist()]
+            column = batch.column(0)
+            values, cuts = column.values.to_numpy(), column.offsets.to_numpy()
+            found = [linked(values[s:e]) for s, e in zip(cuts, cuts[1:])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in (0, 1)], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long")
+    small_batches(fps.sparkSession)
+    return listed(fps).mapInArrow(run, "a long, b long")
 
 
 def with_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp, component): fp is null never; component is the smallest id that links reach, itself included.
-
-    Null and blank texts have fingerprint 0 and link like any other. Repeated rows, and rows with
-    the same id, are kept; rows with a null id are kept and never name a component unless alone.
-    """
+    """(id, fp, component): fp is null never; component is the smallest id that links reach, itself included."""
     made = map_texts(docs, text, [id_col], lambda texts: {"fp": pa.array(fingerprint(texts))}, T.StructType([T.StructField("fp", T.LongType())]))
     marks = stored(made.toDF("id", "fp"), "fingerprints")
     each = stored(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct")

@@ -101,3 +101,47 @@ def test_edges(edge, empty):
     assert kept.columns == edge.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 7, 8]
     assert S.near_dedup(empty).count() == 0 and S.with_components(empty).count() == 0
+
+
+def test_the_count_rejects_candidates(spark):
+    """Fingerprints that share two pairs of bytes are candidates; those that share fewer than six bytes are not kept, and what is kept is verified."""
+    base = 0x0123456789ABCDEF
+    near, apart, many_bits = base ^ 1 << 40 ^ 1 << 50, base ^ 0xFF00FFFF << 32, base ^ 0x7 << 60
+    u = np.array(sorted([base, near, apart, many_bits]), np.uint64)
+    i, j, tally = S.tallied(u)
+    shared = {tuple(sorted((int(u[a]), int(u[b])))): int(t) for a, b, t in zip(i, j, tally)}
+    assert shared[tuple(sorted((base, apart)))] == 5 and shared[tuple(sorted((base, near)))] == 6 and shared[tuple(sorted((base, many_bits)))] == 7
+    a, b = S.linked(u.view(np.int64))
+    assert {tuple(sorted((int(x) % 2**64, int(y) % 2**64))) for x, y in zip(a, b)} == {tuple(sorted((base, near)))}
+    lists = S.listed(spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp long")).collect()
+    assert any({base, apart} <= {x % 2**64 for x in r.fps} for r in lists)
+
+
+def test_hot_lists_are_split_and_lose_no_link(spark):
+    """One key of four bytes that thousands share: every part shares six bytes, and components are those of brute force."""
+    rng = np.random.default_rng(3)
+    fps = sorted({int(x) for x in rng.integers(0, 1 << 32, 1500)} | {int(x) ^ 1 << int(b) for x in rng.integers(0, 1 << 32, 300) for b in rng.integers(0, 32, 2)} | {int(x) for x in rng.integers(0, 1 << 14, 600)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for r in S.listed(df).collect():
+        u = np.array(r.fps, np.int64).view(np.uint64)
+        if len(u) > S.PAIRWISE:
+            assert (S.tallied(u[:200])[2] >= S.SHARED).all() and len(u) <= 65_536
+    got = {r.node: r.root for r in components(S.index_links(df)).collect()}
+    want = slow_components(fps, fps)
+    groups = {}
+    for x, c in zip(fps, want):
+        groups.setdefault(c, set()).add(got.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({got.get(x, x) for x in fps}) == len(groups)
+
+
+def test_a_hot_fingerprint(spark):
+    df = spark.range(30_000).selectExpr("id as doc_id", "case when id % 3 = 0 then '' else concat('text ', id, ' of ', id) end as text")
+    got = S.with_components(df)
+    assert got.where("fp = 0").select("component").distinct().collect()[0][0] == 0 and got.count() == 30_000
+
+
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    a, b = "one text of some eight words or so", "another text that is not like the first"
+    df = spark.createDataFrame([(5, a, 1), (6, a, 2), (6, b, 3)], "doc_id long, text string, __keep int")
+    got = S.near_dedup(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(5, a), (6, b)]
