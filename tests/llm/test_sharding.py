@@ -64,3 +64,42 @@ def test_edges(edge, empty):
     assert len(rows) == edge.count() and {r.size for r in rows if r.id in (1, 2)} == {8}
     assert {r.text_crc32 for r in rows if r.id == 1} == {0}
     assert D.sharded(empty).count() == 0
+
+
+def test_other_draws_cut_elsewhere_within_the_law(spark):
+    for n in (200, 1000, 20_000):
+        df = spark.range(n).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else repeat(cast(id as string), cast(id % 40 as int)) end as text").repartition(4)
+        ends = []
+        for seed in (1, 99):
+            rows = D.sharded(df, seed=seed).collect()
+            assert len(rows) == n
+            check(rows, None, "bytes")
+            held = {}
+            for r in rows:
+                held.setdefault(r.shard, set()).add(r.range)
+            ranges = [x for h in held.values() for x in h]
+            assert len(ranges) == len(set(ranges))  # a shard is a union of whole ranges
+            ends.append(sorted((r.id, r.shard) for r in rows))
+        assert ends[0] != ends[1]
+
+
+def test_ranges_that_stay_overfull_raise(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(D, "ROUNDS", 0)
+    with pytest.raises(RuntimeError, match="overfull"):
+        D.sharded(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), n_shards=2)
+
+
+def test_a_key_that_many_records_share_is_a_range(spark):
+    df = spark.range(12_000).selectExpr("case when id < 9000 then 7 else id end as h", "0L as i", "case when id < 9000 then 1 else id end as r", "1L as size")
+    out, total, rows = D.placed(df, range_rows=500)
+    assert total == rows == 12_000 and sorted(r.place for r in out.select("place").collect()) == list(range(12_000))
+    hot = {r.part for r in out.where("h = 7").select("part").distinct().collect()}
+    assert len(hot) == 1
+
+
+def test_clashing_names_and_a_long_text(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000, 5, 5), (2, "y", 6, 6), (None, None, 7, 7)], "doc_id long, text string, h int, size int")
+    rows = D.sharded(df, n_shards=2).collect()
+    assert sorted(r.size for r in rows) == [8, 9, 3_000_008] and {r.slot for r in rows} <= {0, 1}
