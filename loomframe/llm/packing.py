@@ -8,7 +8,12 @@ is cut: the emptiest sequence takes as much as it can hold and the rest is place
 opens as many sequences as its tokens need, so at most one sequence's worth of padding is left in it.
 
 Windows are narrow transformations: no shuffle, no gathered group, memory bounded by a window and
-one document; hot sources or copies are dealt as the input is. Repeated rows are packed each.
+one document; hot sources or copies are dealt as the input is.
+
+Defined results: a null or empty text is the end id alone; repeated rows are packed each; among pieces of one length the earlier
+row goes first, among sequences of one cost the first; a very long text fills sequences of its own and may end a window early; an empty table
+gives an empty result. Only the id and text columns are read, so other columns may have any name; the id column keeps its name, which
+must not be one of the new ones.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import CHUNK_BYTES, chunks, ship, small_batches
-from loomframe.llm.tokens import encoder, vocabulary
+from loomframe.llm.tokens import encoder, rank_file, vocabulary
 
 ship(__name__)
 
@@ -88,12 +93,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: in
     is the task's number times 2**33 plus a count, the same when a task runs again.
     """
     path = tokenizer or vocabulary()
+    ranks = rank_file(path)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = f"doc {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names)
     kind = docs.schema[id_col].dataType
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, ranks=ranks)
         seq = TaskContext.get().partitionId() << 33
         window, held = [], 0
 

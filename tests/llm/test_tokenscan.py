@@ -53,3 +53,28 @@ def test_edges(spark, tmp_path, edge, empty):
     assert len(rows) == edge.count() and [r[2] for r in rows].count(0) == 2
     X.write_token_files(empty, str(tmp_path / "none"))
     assert scan(spark, tmp_path / "none") == []
+
+
+def test_a_file_of_many_blocks_is_many_tasks(spark, tmp_path):
+    """A task reads its own blocks of a file and holds one at a time; documents cross blocks and tasks."""
+    rng = np.random.default_rng(2)
+    block = 128
+    a = np.where(rng.random(block * X.TASK_BLOCKS * 5 + 17) < 0.003, 9, rng.integers(10, 2560, block * X.TASK_BLOCKS * 5 + 17)).astype("<u2")
+    a.tofile(tmp_path / "a.bin")
+    found = X.separators(spark, str(tmp_path), 9, 2, block)
+    rows = found.collect()
+    assert len(rows) == -(-len(a) // block) and max(r.tokens for r in rows) == block
+    assert found.rdd.getNumPartitions() > 1
+    assert scan(spark, tmp_path, end=9, block_tokens=block) == brute(a, 9)
+
+
+def test_the_query_leaves_no_files(spark):
+    import os
+
+    X.op4_separator_scan(spark, SF).count()
+    assert not any(n.startswith("tokens-") for n in os.listdir(spark.conf.get("spark.checkpoint.dir")))
+
+
+def test_paths_of_unknown_stores_are_refused():
+    with pytest.raises(ValueError, match="store"):
+        X.opened("nosuch://somewhere/file")
