@@ -5,17 +5,24 @@ leave out (ends of p, li, dt, dd, option, table parts; void elements have none);
 tree and emits all visible text: blocks on lines of their own, a blank line around
 paragraphs and headings, list items with bullets or numbers under their nesting, preformatted text as it
 stands, and table cells padded to columns. What is not shown is left out: head, scripts, styles,
-templates, the `hidden` attribute, display:none, visibility:hidden, closed details and dialogs.
+templates, the `hidden` attribute, display:none, closed details and dialogs, and visibility:hidden but for
+elements inside that are made visible again. The text of drawings (svg) is shown, their titles and descriptions are not.
+
+Nesting has no bound: the tree is as deep as the page makes it, and places of open tags are indexed by name, so a deep page is
+not searched for every tag. Columns are padded in full, unless that would make a table over PAD times its text plus PAD_FREE characters long;
+then the widest columns give way until it does not.
 
 Defined results: null gives null; an empty page or one without visible text gives the empty string;
-markup that is cut off is read as far as it goes; entities that don't exist stay as they are. Elements nested deeper
-than MAX_DEPTH are taken as siblings. Each page is read by itself: repeated rows give equal texts.
+markup that is cut off is read as far as it goes; entities that don't exist stay as they are; a quotation mark that is never closed ends
+with its tag; a very long page is read whole, alone in its chunk. Each page is read by itself: repeated rows give equal texts, and there are no ties. A column called `text` keeps its name, and
+the new one gets underscores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,16 +33,20 @@ from loomframe.llm.common import free_name, map_texts, ship
 
 ship(__name__)
 
-MAX_DEPTH = 150
-#: Columns wider than this are not padded.
-MAX_PAD = 60
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:\"[^\"]{0,65536}\"|'[^']{0,65536}'|[^>\"'])*+>|</?[a-zA-Z][^>]*+>?|</[^>]*>?|[^<]++|<", re.S)
+#: How much padding a table may have.
+PAD, PAD_FREE = 8, 1 << 16
+#: Lines that begin so are not indented further; no text is lost by it.
+DEEPEST = " " * 200
+#: HTML's own limits of colspan and rowspan.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>|</?[a-zA-Z][^>]*+>?|</[^>]*>?|[^<]++|<", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+HIDING = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math param source track".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas math param source track desc metadata defs".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure menu".split())
 BLOCK = PARAGRAPH | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup hr legend li main nav optgroup option search section summary caption".split())
 CLOSES_P = (BLOCK - {"html", "body", "option", "optgroup", "legend", "caption"}) | {"xmp", "plaintext", "listing"}
@@ -55,14 +66,41 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+P_SCOPE = ("table", "td", "th", "caption", "button", "template")
+CELLS = ("td", "th", "caption")
+TABLE_TAGS = frozenset("table tr tbody thead tfoot body html td th caption".split())
+#: End tags that don't reach out of a table that is open inside their element.
+INLINE_ENDS = frozenset("td th li p div span".split())
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "seen")
+    """An element. seen: whether it takes part in the layout; shown: whether its own text is visible."""
+
+    __slots__ = ("tag", "attrs", "kids", "seen", "shown")
+
+    def __init__(self, tag: str, attrs: dict | None = None, seen: bool = True, shown: bool = True):
+        self.tag, self.attrs, self.kids, self.seen, self.shown = tag, attrs or {}, [], seen, shown
+
+
+class Open:
+    """The stack of open elements, with the places of each name, so that a search needs no walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
 
-    def __init__(self, tag: str, attrs: dict | None = None, seen: bool = True):
-        self.tag, self.attrs, self.kids, self.seen = tag, attrs or {}, [], seen
+    def cut(self, i: int) -> None:
+        """Close the element at place i and all inside it."""
+        while len(self.nodes) > i:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, names) -> int:
+        """The innermost place of an element with one of the names; 0 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
 
 
 def attributes(tag: str, name: str) -> dict:
@@ -78,37 +116,31 @@ def attributes(tag: str, name: str) -> dict:
 def build(page: str) -> Node:
     """The page's tree: nodes and strings."""
     root = Node("#root")
-    open_ = [root]
+    open_ = Open(root)
     at = 0
 
     def end(tags: set, stops: set) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                low = i
-                while low > 1 and open_[low - 1].tag in tags and open_[low - 1].tag not in stops:
-                    low -= 1
-                del open_[low:]
-                return
-            if open_[i].tag in stops:
-                return
+        i = open_.last(tags)
+        if i and i >= open_.last(stops):
+            while i > 1 and open_.nodes[i - 1].tag in tags and open_.nodes[i - 1].tag not in stops:
+                i -= 1
+            open_.cut(i)
 
     def close_p() -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag == "p":
-                del open_[i:]
-                return
-            if open_[i].tag in ("table", "td", "th", "caption", "button", "template"):
-                return
+        i = open_.last(("p",))
+        if i > open_.last(P_SCOPE):
+            open_.cut(i)
 
     while m := TOKEN.match(page, at):
         token = m[0]
         at = m.end()
+        top = open_.nodes[-1]
         if token[0] != "<" or token == "<":
-            open_[-1].kids.append(token)
+            top.kids.append(token)
             continue
         if token[1] in "!?":
             if token.startswith("<![CDATA["):
-                open_[-1].kids.append(token[9:].removesuffix("]]>"))
+                top.kids.append(token[9:].removesuffix("]]>"))
             continue
         t = TAG.match(token)
         if not t or token[-1] != ">":
@@ -116,28 +148,29 @@ def build(page: str) -> Node:
         name = t[2].lower()
         if t[1]:
             if name == "br":
-                open_[-1].kids.append(Node("br"))
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == name:
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("td", "th", "caption") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or open_[i].tag == "table" and name in ("td", "th", "li", "p", "div", "span"):
-                    break
+                top.kids.append(Node("br", shown=top.shown))
+            i = open_.last((name,))
+            walls = 0 if name in TABLE_TAGS else open_.last(CELLS)
+            if name in INLINE_ENDS:
+                walls = max(walls, open_.last(("table",)))
+            if i and i >= walls:
+                open_.cut(i)
             continue
         attrs = attributes(token, name)
         if name in CLOSES_P:
             close_p()
-        if name in HEADINGS and open_[-1].tag in HEADINGS:
-            open_.pop()
+        if name in HEADINGS and open_.nodes[-1].tag in HEADINGS:
+            open_.cut(len(open_.nodes) - 1)
         if name in ENDS:
             end(*ENDS[name])
-        if name == "a" and any(n.tag == "a" for n in open_[-3:]):
-            for i in range(len(open_) - 1, max(0, len(open_) - 4), -1):
-                if open_[i].tag == "a":
-                    del open_[i:]
-                    break
-        node = Node(name, attrs, not ("hidden" in attrs or HIDING.search(attrs.get("style", ""))))
-        open_[-1].kids.append(node)
+        if name == "a" and (i := open_.last(("a",))) and i >= len(open_.nodes) - 3:
+            open_.cut(i)
+        top = open_.nodes[-1]
+        style = attrs.get("style", "")
+        said = VISIBILITY.findall(style)
+        shown = said[-1].lower() == "visible" if said else top.shown
+        node = Node(name, attrs, not ("hidden" in attrs or HIDING.search(style)), shown)
+        top.kids.append(node)
         if name in VOID:
             continue
         if name in RAW:
@@ -147,8 +180,7 @@ def build(page: str) -> Node:
             gt = page.find(">", at)
             at = gt + 1 if stop and gt >= 0 else len(page)
             continue
-        if len(open_) < MAX_DEPTH:
-            open_.append(node)
+        open_.push(node)
     return root
 
 
@@ -209,6 +241,8 @@ def visible(n: Node) -> bool:
 def render(n: Node, out: Lines, pre: bool = False) -> None:
     for k in n.kids:
         if isinstance(k, str):
+            if not n.shown:
+                continue
             if pre:
                 rows = html.unescape(k).replace("\r\n", "\n").split("\n")
                 for i, row in enumerate(rows):
@@ -227,7 +261,7 @@ def render(n: Node, out: Lines, pre: bool = False) -> None:
         elif tag == "hr":
             out.gap(1)
         elif tag == "input":
-            if k.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number"):
+            if k.shown and k.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number"):
                 out.text(k.attrs.get("value", ""))
         elif tag == "table":
             out.gap(2)
@@ -241,7 +275,7 @@ def render(n: Node, out: Lines, pre: bool = False) -> None:
             out.gap(1 if n.tag in ("li", "ul", "ol") else 2)
         elif tag == "details" and "open" not in k.attrs:
             out.gap(1)
-            shut = Node("details")
+            shut = Node("details", shown=k.shown)
             shut.kids = [x for x in k.kids if isinstance(x, Node) and x.tag == "summary"][:1]
             render(shut, out, pre)
             out.gap(1)
@@ -265,7 +299,8 @@ def indented(n: Node, out: Lines, first: str, rest: str) -> None:
     render(n, inner)
     inner.flush()
     for i, row in enumerate(inner.done):
-        out.put((first if i == 0 else rest) + row if row or i == 0 else " ")
+        deep = i > 0 and row.startswith(DEEPEST)
+        out.put((first if i == 0 else "" if deep else rest) + row if row or i == 0 else " ")
         out.flush()
         if not row and i:
             out.done[-1] = ""
@@ -276,7 +311,8 @@ def items(n: Node, out: Lines) -> None:
     number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     for k in n.kids:
         if isinstance(k, str):
-            out.text(k)
+            if n.shown:
+                out.text(k)
         elif not visible(k):
             continue
         elif k.tag == "li":
@@ -288,24 +324,26 @@ def items(n: Node, out: Lines) -> None:
             indented(k, out, bullet, " " * len(bullet))
             out.gap(1)
         else:
-            wrap = Node(n.tag)
+            wrap = Node(n.tag, shown=n.shown)
             wrap.kids = [k]
             render(wrap, out)
     out.flush()
 
 
-def span(v: str) -> int:
-    return max(1, min(100, int(v))) if re.fullmatch(r"\d{1,4}", v or "") else 1
+def span(v: str, most: int) -> int:
+    return max(1, min(most, int(v))) if re.fullmatch(r"\d{1,9}", v or "") else 1
 
 
 def table(n: Node) -> list[str]:
     """A table's lines: its caption and other content first, then rows with their cells padded to columns."""
-    lead, rows, taken = Lines(), [], {}
+    lead, rows = Lines(), []
+    busy: dict = {}  # column -> first row that no cell above reaches into
 
     def collect(m: Node) -> None:
         for k in m.kids:
             if isinstance(k, str):
-                lead.text(k)
+                if m.shown:
+                    lead.text(k)
             elif not visible(k):
                 continue
             elif k.tag in ("tbody", "thead", "tfoot"):
@@ -313,11 +351,11 @@ def table(n: Node) -> list[str]:
             elif k.tag == "tr":
                 add(k)
             elif k.tag in ("td", "th"):
-                one = Node("tr")
+                one = Node("tr", shown=m.shown)
                 one.kids = [k]
                 add(one)
             elif k.tag not in ("col", "colgroup"):
-                wrap = Node("div")
+                wrap = Node("div", shown=m.shown)
                 wrap.kids = [k]
                 lead.gap(1)
                 render(wrap, lead)
@@ -328,47 +366,75 @@ def table(n: Node) -> list[str]:
         at, r = 0, len(rows)
         for k in tr.kids:
             if isinstance(k, str):
-                lead.text(k)
+                if tr.shown:
+                    lead.text(k)
             elif not visible(k):
                 continue
             else:
-                while taken.get((r, at)):
+                while busy.get(at, 0) > r:
                     at += 1
                 inner = Lines()
                 render(k if k.tag in ("td", "th") else _only(k), inner)
                 inner.flush()
-                wide = span(k.attrs.get("colspan", ""))
+                wide = span(k.attrs.get("colspan", ""), MAX_COLSPAN)
                 cells[at] = (wide, inner.done)
-                for d in range(1, span(k.attrs.get("rowspan", ""))):
+                tall = span(k.attrs.get("rowspan", ""), MAX_ROWSPAN)
+                if tall > 1:
                     for c in range(at, at + wide):
-                        taken[r + d, c] = True
+                        busy[c] = r + tall
                 at += wide
         rows.append(cells)
 
     collect(n)
     lead.flush()
-    width: dict = {}
-    for cells in rows:
-        for at, (wide, lines) in cells.items():
-            if wide == 1 and lines:
-                width[at] = max(width.get(at, 0), min(MAX_PAD, max(map(len, lines))))
     out = [x for x in lead.done if x]
-    edges = [0]
-    for c in range(max(width, default=-1) + 1):
-        edges.append(edges[-1] + (width[c] + 2 if c in width else 0))
+    edges = column_edges(rows)
     for cells in rows:
         for i in range(max((len(lines) for _, lines in cells.values()), default=0)):
             line = ""
             for at, (_, lines) in sorted(cells.items()):
-                edge = edges[min(at, len(edges) - 1)]
+                edge = edges[at]
                 line = line.ljust(edge) if len(line) < edge else line + ("  " if line else "")
                 line += lines[i] if i < len(lines) else ""
             out.append(line.rstrip())
-    return [x for x in out if x]
+    while out and not out[-1]:
+        out.pop()
+    return out
+
+
+def column_edges(rows: list[dict]) -> list[int]:
+    """Where each column begins: cells of one column set its width, and a cell over several widens the last of them where they are too narrow for it."""
+    columns = max((at + wide for cells in rows for at, (wide, _) in cells.items()), default=0)
+    text = sum(len(x) for cells in rows for _, lines in cells.values() for x in lines)
+    heights = [max((len(lines) for _, lines in cells.values()), default=0) for cells in rows]
+    most = max((len(x) for cells in rows for _, lines in cells.values() for x in lines), default=0)
+    while True:
+        width = [0] * columns
+        used = [False] * columns
+        spanning = []
+        for cells in rows:
+            for at, (wide, lines) in cells.items():
+                longest = min(most, max(map(len, lines), default=0))
+                if wide == 1:
+                    width[at] = max(width[at], longest)
+                elif longest:
+                    spanning.append((wide, at, longest))
+                used[at] = used[at] or longest > 0
+        for wide, at, longest in sorted(spanning):
+            have = sum(width[at : at + wide]) + 2 * (sum(used[at : at + wide]) - 1)
+            if have < longest:
+                width[at + wide - 1] += longest - have
+        edges = [0]
+        for w, u in zip(width, used):
+            edges.append(edges[-1] + (w + 2 if u or w else 0))
+        padded = sum(h * edges[max(cells)] for h, cells in zip(heights, rows) if cells)
+        if padded <= PAD * text + PAD_FREE or most == 0:
+            return edges
+        most //= 2
 
 
 def _only(k: Node) -> Node:
-    wrap = Node("td")
+    wrap = Node("td", shown=k.shown)
     wrap.kids = [k]
     return wrap
 
@@ -376,7 +442,10 @@ def _only(k: Node) -> Node:
 def page_text(page: str) -> str:
     """All visible text of a page."""
     out = Lines()
-    render(build(page), out)
+    tree = build(page)
+    # Python's own calls need no C stack: a page may nest as deeply as it has tags
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 6 * page.count("<")))
+    render(tree, out)
     out.flush()
     rows = out.done
     while rows and not rows[-1]:

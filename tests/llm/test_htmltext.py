@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -56,3 +58,91 @@ def test_edges(spark):
     assert out.columns == ["page_id", "html", "text", "_text"]
     assert sorted((r[0], r[3]) for r in out.collect()) == [(1, None), (2, ""), (2, "")]
     assert extracted(df.where("false")).count() == 0
+
+
+MORE = [
+    ('<div style="visibility:hidden">a<b style="visibility: visible">b</b>c</div>d', "b\nd"),
+    ("<svg><title>no</title><text>drawn words</text></svg>", "drawn words"),
+    ("<table><tr><td><p>a<p>b<td>x</table>", "a  x\n\nb"),
+    ("<table><tr><td colspan=2>a long cell<td>z<tr><td>1<td>2<td>3</table>", "a long cell  z\n1  2         3"),
+    ("<table><tr><td rowspan=200>a<td>b" + "<tr><td>c" * 199 + "<tr><td>d<td>e</table>", "\n".join(["a  b", *["   c"] * 199, "d  e"])),
+    ("<table><tr><td>" + "w" * 80 + "<td>x<tr><td>y<td>z</table>", "w" * 80 + "  x\ny" + " " * 81 + "z"),
+    ('<a href="data:' + "x>y" * 30_000 + '">link</a> after', "link after"),
+    ("<p it's>one</p><p don't>two</p>", "one\n\ntwo"),
+    ("<section hidden>" + "<div>" * 400 + "never seen" + "</div>" * 400 + "</section>", ""),
+    ('<div style="visibility:hidden">' + "<i>" * 400 + "never seen", ""),
+]
+
+
+@pytest.mark.parametrize("page,text", MORE)
+def test_visibility_spacing_and_long_markup(page, text):
+    assert page_text(page) == text
+
+
+def test_deep_pages_keep_their_layout():
+    page = "<div>" * 3000 + "<ul><li>one<li>two</ul><p>three" + "</div>" * 3000
+    assert page_text(page) == "- one\n- two\n\nthree"
+    deep = "<ul><li>x" * 2000
+    lines = page_text(deep).split("\n")
+    assert len(lines) == 2000 and max(map(len, lines)) < 300 and all(x.strip() == "- x" for x in lines)
+
+
+def test_padding_is_bounded():
+    page = "<table>" + "".join(f"<tr><td>{'w' * 200_000 if i == 0 else 'a'}<td>b" for i in range(3000)) + "</table>"
+    out = page_text(page)
+    assert len(out) < 9 * 220_000 + (1 << 17) and out.count("b") == 3000
+
+
+def plain_text(page):
+    """The words of a page by another parser: the standard library's, with the same rules of what is seen."""
+    from html.parser import HTMLParser
+
+    unseen = {"head", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "title", "datalist", "object", "audio", "video", "canvas", "math", "desc", "metadata", "defs"}
+    void = set("area base br col embed hr img input link meta param source track wbr".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = {k: v or "" for k, v in attrs}
+            if tag == "input" and a.get("type", "text") in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and not any(h for _, h in self.stack):
+                self.out.append(a.get("value", ""))
+            if tag in void:
+                return
+            style = a.get("style", "").replace(" ", "")
+            hides = tag in unseen or "hidden" in a or "display:none" in style or "visibility:hidden" in style or (tag in ("details", "dialog") and "open" not in a)
+            self.stack.append((tag, hides))
+
+        def handle_endtag(self, tag):
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    del self.stack[i:]
+                    return
+
+        def handle_data(self, data):
+            if not any(h for _, h in self.stack):
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "".join(" ".join(reader.out).split())
+
+
+def test_query_has_the_words_of_another_parser(spark):
+    """All pages: the characters of the text, without layout (white space, bullets, numbers of lists), are those that another parser finds visible."""
+    pages = dict(duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall())
+    differ = []
+    for r in op10_layout_text(spark, SF).collect():
+        page = pages[r.page_id]
+        if "<li" in page or "<ol" in page:
+            got = "".join(w for line in r.text.split("\n") for w in re.sub(r"^[\s-]*(?:\d+\. |- )?", "", line).split())
+            want = plain_text(page)
+            ok = re.sub(r"[-\d.]", "", got) == re.sub(r"[-\d.]", "", want)
+        else:
+            ok = "".join(r.text.split()) == plain_text(page)
+        if not ok:
+            differ.append(r.page_id)
+    assert not differ
