@@ -1,19 +1,26 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed in cells of source, language and topic; a category without a target of its own is
-pooled as `other`, so the number of cells is bounded by the targets and not by the corpus. The cells' tokens are raked
-in turn to each marginal until all agree, with every document's probability held at 1 at the most: cells
-that reach it give up what they can't hold to the others of the marginal. Documents are then drawn by
+pooled as `other`, so the number of cells is bounded by the targets and not by the corpus. The cells' weights are raked
+in turn to each marginal until all agree, and all are then scaled by one factor: the sample takes the share of tokens asked for, or less
+where a cell would need more than all it has. So targets are met at any share, and what cells without tokens make
+impossible is returned as each marginal's residual and warned of. Documents are then drawn by
 their cell's probability, decided by a hash of id and text, so that a run repeated gives the same
 sample and equal rows fall alike. The cells are joined back by broadcast (at most MAX_CELLS rows).
 
+Targets are shares by category, or a number: the exponent that tempers the categories' own shares (1 keeps them, 0
+makes them equal), taken from the tokens of all rows for the MAX_CATEGORIES largest. Topics are a column of the table, or by default
+KINDS kinds of text (kinds.py), fitted to all rows.
+
 Defined results: a null category is `other`; a null or blank text has no tokens and is drawn with its cell's
-probability; targets of categories that no document has are dropped and the others scaled up; an empty table gives an empty sample.
+probability; targets of categories that no document has are dropped and the others scaled up; ties can't arise, as draws are independent; repeated
+rows are drawn together; a very long text counts whole; columns called as the new ones keep their names and the new ones get underscores; an
+empty table gives an empty sample.
 """
 
 from __future__ import annotations
 
-import zlib
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -21,82 +28,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomframe.llm import kinds
 from loomframe.llm.common import free_name, map_texts, ship, stored
-from loomframe.llm.tokens import encoder, vocabulary
+from loomframe.llm.tokens import encoder, rank_file, vocabulary
 
 ship(__name__)
 
 OTHER = "other"
 MAX_CELLS = 100_000
-ROUNDS, TOLERANCE = 200, 1e-9
-TOPICS = 6
-#: Shares of the marginals that the registered query and the pipeline rake to.
-SOURCES = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "src3": 0.08, "src4": 0.08, "src5": 0.08, OTHER: 0.4}
+MAX_CATEGORIES = 200
+ROUNDS, TOLERANCE = 2_000, 1e-9
+#: A larger residual is warned of.
+MISSED = 1e-3
+#: What the registered query and the pipeline rake to: tempered shares of the sources and topics found, fixed shares of languages.
+SOURCES = 0.7
 LANGS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1, OTHER: 0.05}
-TOPIC_SHARES = {str(i): 1 / TOPICS for i in range(TOPICS)}
+TOPICS = 0.7
 #: Share of all tokens that the sample aims at.
 SHARE = 0.6
-MEMORY = 200_000
-
-
-class Votes(dict):
-    """word -> the topic it votes for; short words vote for none."""
-
-    def __missing__(self, w: bytes) -> int:
-        got = zlib.crc32(w) % TOPICS if len(w) >= 6 else TOPICS
-        if len(self) >= MEMORY:
-            self.clear()
-        self[w] = got
-        return got
-
-
-def tokens_and_topic(texts: list, votes: Votes, vocab: str | None = None) -> dict:
-    """Token ids (without vocab: words) of each text and the topic most of its longer words vote for (the lowest among equals)."""
-    n, topic = [], []
-    for t in texts:
-        w = (t or b"").lower().split()
-        n.append(len(w))
-        got = np.bincount(np.fromiter(map(votes.__getitem__, w), np.int64, len(w)), minlength=TOPICS + 1)[:TOPICS]
-        topic.append(str(int(got.argmax())) if len(got) else "0")
-    if vocab:
-        n = [len(ids) for ids in encoder(vocab)([(t or b"").decode("utf-8", "replace") for t in texts])]
-    return {"tokens": pa.array(n, pa.int64()), "topic": pa.array(topic)}
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], share: float = SHARE) -> np.ndarray:
-    """Probability of each cell: tokens * probability meets every marginal's targets as far as 1 at the most allows.
+    """Probability of each cell: the shares of tokens * probability are the targets, their sum is `share` of all or the most that probabilities up to 1 allow.
 
     codes: each cell's category in each marginal; targets: the categories' shares of the sample's tokens.
     """
     total = tokens.sum()
-    p = np.full(len(tokens), min(1.0, share))
     if total <= 0:
-        return p
+        return np.full(len(tokens), min(1.0, share))
     goals = []
     for code, goal in zip(codes, targets):
-        has = np.bincount(code, tokens, len(goal)) > 0
-        goal = np.where(has, goal, 0.0)
-        goals.append(goal / max(goal.sum(), 1e-300) * share * total)
-    p = np.where(tokens > 0, p, min(1.0, share))
+        goal = np.where(np.bincount(code, tokens, len(goal)) > 0, goal, 0.0)
+        goals.append(goal / max(goal.sum(), 1e-300) * total)
+    w = np.where(tokens > 0, 1.0, 0.0)
     for _ in range(ROUNDS):
-        before = p
+        before = w
         for code, goal in zip(codes, goals):
-            for _ in range(8):  # what capped cells can't hold goes to the others of their category
-                full = p >= 1.0
-                fixed = np.bincount(code, np.where(full, tokens, 0.0), len(goal))
-                loose = np.bincount(code, np.where(full, 0.0, tokens * p), len(goal))
-                have = fixed + loose
-                down = have > goal
-                ratio = np.where(down, goal / np.maximum(have, 1e-300), np.where(loose > 0, np.maximum(goal - fixed, 0) / np.maximum(loose, 1e-300), 1.0))
-                factor = np.where(full & ~down[code], 1.0, ratio[code])
-                new = np.minimum(1.0, p * factor)
-                still = np.abs(new - p).max() < TOLERANCE
-                p = new
-                if still:
-                    break
-        if np.abs(p - before).max() < TOLERANCE:
+            have = np.bincount(code, tokens * w, len(goal))
+            w = w * np.where(have > 0, goal / np.maximum(have, 1e-300), 0.0)[code]
+        if np.abs(w - before).max() < TOLERANCE:
             break
-    return p
+    reached = (tokens * w).sum()
+    p = w * min(share * total / max(reached, 1e-300), 1.0 / max(w.max(), 1e-300))
+    return np.where(tokens > 0, np.minimum(p, 1.0), min(1.0, share))
+
+
+def residuals(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], p: np.ndarray) -> list[float]:
+    """How far each marginal of tokens * p is from its targets, of the categories that have tokens: the largest difference of shares."""
+    out = []
+    for code, goal in zip(codes, targets):
+        goal = np.where(np.bincount(code, tokens, len(goal)) > 0, goal, 0.0)
+        have = np.bincount(code, tokens * p, len(goal))
+        out.append(float(np.abs(have / max(have.sum(), 1e-300) - goal / max(goal.sum(), 1e-300)).max(initial=0.0)))
+    return out
+
+
+def tempered(counted: DataFrame, column: str, tokens: str, power: float) -> dict:
+    """Targets of the MAX_CATEGORIES categories with the most tokens, all others pooled: their shares of tokens to the power, scaled to 1."""
+    sums = counted.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("c")).agg(F.sum(f"`{tokens}`").alias("n"))
+    rows = sums.orderBy(F.desc("n"), "c").limit(MAX_CATEGORIES).collect()
+    total = float(counted.agg(F.sum(f"`{tokens}`")).first()[0] or 0)
+    out = {r.c: float(r.n or 0) for r in rows if r.c != OTHER}
+    out[OTHER] = max(0.0, total - sum(out.values()))
+    out = {c: (n / max(1.0, total)) ** power if n else 0.0 for c, n in out.items()}
+    return {c: n / max(1e-300, sum(out.values())) for c, n in out.items()}
 
 
 def pooled(column: str, targets: dict) -> Column:
@@ -105,46 +100,63 @@ def pooled(column: str, targets: dict) -> Column:
     return F.when(c.isin([k for k in targets if k != OTHER]), c).otherwise(F.lit(OTHER))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: tuple[dict, dict, dict] = (SOURCES, LANGS, TOPIC_SHARES), share: float = SHARE, seed: int = 7, tokenizer: str | None = None, by_words: bool = False) -> tuple[DataFrame, list[str]]:
-    """docs with four more columns, whose names are given: tokens, topic, probability, drawn (boolean).
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: tuple = (SOURCES, LANGS, TOPICS), share: float = SHARE, seed: int = 7, tokenizer: str | None = None, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """docs' columns `keep` (all by default) with five more, whose names are given: tokens, topic, probability, drawn (boolean), residual.
 
-    topic: a column of docs; by default each document's longer words vote for one of TOPICS. Tokens are ids of the
-    tokenizer (a vocabulary file, by default that of packing), or with by_words words between white space.
+    topic: a column of docs; by default the kind of text. Tokens are ids of the
+    tokenizer (a vocabulary file, by default that of packing). residual: the largest miss of a marginal's target, the same on every row.
     """
-    bound = int(np.prod([len({*t, OTHER}) for t in targets]))
+    vocab = tokenizer or vocabulary()
+    ranks = rank_file(vocab)
+    keep = docs.columns if keep is None else keep
+    n_tokens, made_topic, probability, drawn, residual = (free_name(docs, c) for c in ("tokens", "topic", "probability", "drawn", "residual"))
+    names = [c for c in (source, lang, topic) if c]
+    # texts are read once: what raking and drawing need is made here
+    u = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], u.alias("u"), F.col(f"`{text}`").alias("text"))
+
+    def read(texts):
+        ids = encoder(vocab, ranks=ranks)([(t or b"").decode("utf-8", "replace") for t in texts])
+        made = {"tokens": pa.array([len(x) for x in ids], pa.int64())}
+        return made if topic else made | {"style": pa.array(list(kinds.style(texts)), pa.list_(pa.float64()))}
+
+    fields = [T.StructField("tokens", T.LongType())] + ([] if topic else [T.StructField("style", T.ArrayType(T.DoubleType()))])
+    counted = stored(map_texts(plain, "text", [c for c in plain.columns if c != "text"], read, T.StructType(fields)), "counted")
+    if topic:
+        placed = counted.withColumn("topic", F.col("c2").cast("string"))
+    else:
+        placed = counted.withColumn("topic", kinds.nearest("style", kinds.fitted(counted, "style")))
+    columns = ["c0", "c1", "topic"]
+    goals = [t if isinstance(t, dict) else tempered(placed, c, "tokens", float(t)) for c, t in zip(columns, targets)]
+    bound = int(np.prod([len({*t, OTHER}) for t in goals]))
     if bound > MAX_CELLS:
         raise ValueError(f"the targets make {bound} cells; {MAX_CELLS} is the most")
-    votes = Votes()
-    vocab = None if by_words else tokenizer or vocabulary()
-    keep = docs.columns
-    n_tokens, made_topic, probability, drawn = (free_name(docs, c) for c in ("tokens", "topic", "probability", "drawn"))
-    counted = map_texts(docs, text, keep, lambda texts: tokens_and_topic(texts, votes, vocab), T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())])).toDF(*keep, n_tokens, made_topic)
-    if vocab:  # read twice, encoded once
-        counted = stored(counted, "counted")
-    names = [source, lang, topic or made_topic]
-    cells = ["__cell_source", "__cell_lang", "__cell_topic"]
-    in_cells = counted.select(*[pooled(c, t).alias(a) for c, t, a in zip(names, targets, cells)], F.col(f"`{n_tokens}`").alias("n"))
-    sums = in_cells.groupBy(*cells).agg(F.sum("n").alias("n")).collect()  # at most MAX_CELLS
-    p = []
+    cells = ["s", "l", "t"]
+    in_cells = placed.select(*[pooled(c, t).alias(a) for c, t, a in zip(columns, goals, cells)], "tokens")
+    sums = in_cells.groupBy(*cells).agg(F.sum("tokens").alias("n")).collect()  # at most MAX_CELLS
+    p, miss = [], 0.0
     if sums:
-        listed = [sorted({*t, OTHER}) for t in targets]
+        listed = [sorted({*t, OTHER}) for t in goals]
         codes = [np.array([at.index(r[c]) for r in sums]) for at, c in zip(listed, cells)]
-        goals = [np.array([float(t.get(k, 0.0)) for k in at]) for at, t in zip(listed, targets)]
-        p = rake(np.array([float(r["n"]) for r in sums]), codes, goals, share)
-    table = docs.sparkSession.createDataFrame([(*r[:3], float(x)) for r, x in zip(sums, p)], T.StructType([*(T.StructField(c, T.StringType()) for c in cells), T.StructField("__p", T.DoubleType())]))
-    out = counted.withColumns({c: pooled(n, t) for n, t, c in zip(names, targets, cells)}).join(F.broadcast(table), cells, "left")
-    u = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    out = out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{n_tokens}`"), F.col(f"`{made_topic}`"), F.col("__p").alias(probability), (u < F.col("__p")).alias(drawn))
-    return out, [n_tokens, made_topic, probability, drawn]
+        shares = [np.array([float(t.get(k, 0.0)) for k in at]) for at, t in zip(listed, goals)]
+        n = np.array([float(r["n"]) for r in sums])
+        p = rake(n, codes, shares, share)
+        misses = residuals(n, codes, shares, p)
+        miss = max(misses)
+        if miss > MISSED:
+            warnings.warn(f"targets are missed by {misses} (source, language, topic)", stacklevel=2)
+    table = docs.sparkSession.createDataFrame([(*r[:3], float(x)) for r, x in zip(sums, p)], "s string, l string, t string, p double")
+    out = placed.withColumns({a: pooled(c, t) for c, t, a in zip(columns, goals, cells)}).join(F.broadcast(table), cells, "left")
+    out = out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("tokens").alias(n_tokens), F.col("topic").alias(made_topic), F.col("p").alias(probability), (F.col("u") < F.col("p")).alias(drawn), F.lit(miss).alias(residual))
+    return out, [n_tokens, made_topic, probability, drawn, residual]
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The documents drawn, with docs' own columns."""
-    out, (_, _, _, drawn) = mixed(docs, **options)
+    out, (_, _, _, drawn, _) = mixed(docs, **options)
     return out.where(F.col(f"`{drawn}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_raked_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out, _ = mixed(docs.select("doc_id", "text", "source", "lang"), by_words=True)
-    return out.select("doc_id", "source", "lang", "topic", "tokens", "probability", "drawn")
+    out, _ = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id", "source", "lang"])
+    return out

@@ -1,7 +1,11 @@
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from loomframe.llm import kinds as K
 from loomframe.llm import mixing as M
+from loomframe.llm.tokens import encoder, vocabulary
 from tests.llm.conftest import SF
 
 
@@ -24,23 +28,75 @@ def test_targets_out_of_reach_keep_probabilities_within_one():
     assert p[0] == 1.0 and 0 <= p[1] < 1
 
 
-def test_query(spark, documents):
-    rows = M.op8_raked_mixing(spark, SF).collect()
-    assert len(rows) == len(documents)
-    text = dict(documents)
-    assert all(r.tokens == len(text[r.doc_id].encode().split()) and 0 <= r.probability <= 1 for r in rows)
-    again = {r.doc_id: r.drawn for r in M.op8_raked_mixing(spark, SF).collect()}
-    assert again == {r.doc_id: r.drawn for r in rows}
-    # against a run of the same raking over the rows
-    listed = [sorted({*t, M.OTHER}) for t in (M.SOURCES, M.LANGS, M.TOPIC_SHARES)]
-    cells = {}
+def test_the_share_gives_way_to_the_targets():
+    tokens, codes = np.array([10.0, 90.0]), [np.array([0, 1])]
+    p = M.rake(tokens, codes, [np.array([0.5, 0.5])], 0.6)
+    assert p[0] == 1.0 and abs(p[1] - 1 / 9) < 1e-9
+
+
+def test_targets_that_cells_make_impossible_are_told(spark):
+    """Source a has only English and b only German: their shares can't differ from the languages'."""
+    docs = spark.createDataFrame([(i, "some words of a text", "ab"[i % 2], ("en", "de")[i % 2], "x") for i in range(100)], "doc_id long, text string, source string, lang string, topic string")
+    with pytest.warns(UserWarning, match="targets are missed"):
+        out, _ = M.mixed(docs, topic="topic", targets=({"a": 0.9, "b": 0.1}, {"en": 0.1, "de": 0.9}, 1))
+    assert out.first().residual > 0.1
+
+
+def marginal(rows, key, goals):
+    """The largest difference between the shares that the rows' probabilities give and goals."""
+    total = sum(r.tokens * r.probability for r in rows)
+    have = {}
     for r in rows:
-        k = tuple(v if v in at else M.OTHER for v, at in zip((r.source, r.lang, r.topic), listed))
-        cells.setdefault(k, []).append(r)
-    keys = list(cells)
-    p = M.rake(np.array([float(sum(r.tokens for r in cells[k])) for k in keys]), [np.array([at.index(k[i]) for k in keys]) for i, at in enumerate(listed)], [np.array([t.get(v, 0.0) for v in at]) for at, t in zip(listed, (M.SOURCES, M.LANGS, M.TOPIC_SHARES))])
-    for k, x in zip(keys, p):
-        assert all(abs(r.probability - x) < 1e-9 for r in cells[k])
+        k = getattr(r, key)
+        k = k if k in goals else M.OTHER
+        have[k] = have.get(k, 0) + r.tokens * r.probability / total
+    return max(abs(have.get(k, 0) - g) for k, g in goals.items())
+
+
+def tempered(rows, key, power):
+    sums = {}
+    for r in rows:
+        sums[getattr(r, key)] = sums.get(getattr(r, key), 0) + r.tokens
+    scaled = {k: n**power for k, n in sums.items()}
+    return {k: n / sum(scaled.values()) for k, n in scaled.items()}
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_meets_its_targets(spark, sf):
+    """From the rows alone: token ids of the whole texts, the marginals of tokens * probability, and the draws."""
+    rows = M.op8_raked_mixing(spark, sf).collect()
+    text = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    assert len(rows) == len(text)
+    ids = encoder(vocabulary())([text[r.doc_id] for r in rows])
+    assert [r.tokens for r in rows] == [len(x) for x in ids]
+    langs = {k: v for k, v in M.LANGS.items() if k in {r.lang for r in rows}}
+    langs = {k: v / sum(langs.values()) for k, v in langs.items()}
+    assert marginal(rows, "source", tempered(rows, "source", M.SOURCES)) < 1e-3
+    assert marginal(rows, "lang", langs) < 1e-3
+    assert marginal(rows, "topic", tempered(rows, "topic", M.TOPICS)) < 1e-3
+    total = sum(r.tokens for r in rows)
+    share = sum(r.tokens * r.probability for r in rows) / total
+    assert 0.2 < share <= M.SHARE + 1e-9 and all(0 <= r.probability <= 1 and r.residual < 1e-3 for r in rows)
+    assert abs(sum(r.tokens for r in rows if r.drawn) / total - share) < 0.1
+    again = {r.doc_id: r.drawn for r in M.op8_raked_mixing(spark, sf).collect()}
+    assert again == {r.doc_id: r.drawn for r in rows}
+
+
+def test_kinds_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    raw = [r.text.encode() for r in docs]
+    styles = K.style(raw)
+    for t, s in zip(raw[:50], styles):
+        digits = sum(48 <= b <= 57 for b in t)
+        assert abs(s[list(K._CLASSES).index("digit")] ** 2 - digits / len(t)) < 1e-12
+    table = spark.createDataFrame([(r.doc_id, [float(v) for v in s]) for r, s in zip(docs, styles)], "doc_id long, style array<double>")
+    model = K.fitted(table, "style")
+    mean, scale, centres = map(np.array, model)
+    got = {r.doc_id: r.kind for r in table.select("doc_id", K.nearest("style", model).alias("kind")).collect()}
+    for r, s in zip(docs, styles):
+        apart = (((s - mean) * scale - centres) ** 2).sum(axis=1)
+        assert abs(apart[int(got[r.doc_id])] - apart.min()) < 1e-9
+    assert len(set(got.values())) > 2 and not K.style([None, b""]).any()
 
 
 def test_edges(edge, empty):
@@ -52,3 +108,5 @@ def test_edges(edge, empty):
     assert M.sample(edge).columns == edge.columns and M.sample(empty).count() == 0
     given = edge.withColumn("about", F.lit("0"))
     assert M.mixed(given, topic="about")[0].count() == edge.count()
+    clashing = edge.withColumns({"__p": F.lit(1), "__cell_source": F.lit(1), "topic": F.lit("t"), "u": F.lit(2), "k0": F.lit(3)})
+    assert M.sample(clashing).columns == clashing.columns and M.mixed(clashing)[0].count() == edge.count()
