@@ -6,14 +6,16 @@ cut to one), with a shape of its own for a word that repeats the word before it.
 its count over the number of words, times SCALE. Scores are sparse dot products: hashed indexes look up the
 weights, and a segment sum adds a document's products.
 
-Training takes at most MAX_TRAIN labelled rows, those with the smallest hash of their id, in one
-task: follow-the-regularised-leader is a sequence of updates. The bound holds memory fixed
+Training takes at most MAX_TRAIN labelled rows, those with the smallest hash of their id, and of these only as many as hold
+MAX_TRAIN_BYTES of text together, in one
+task: follow-the-regularised-leader is a sequence of updates. The bounds hold memory fixed
 whatever the corpus; everything else covers all rows. Scoring is a narrow transformation; what it
 broadcasts is the weight table, of 2**BITS floats.
 
 Defined results: null and blank texts score as the bias alone. Labels that are null are left out; a
 document with several labels counts as 1 if their mean is 0.5 or more. No usable label: all scores
-are 0.5. Repeated rows score the same.
+are 0.5. Repeated rows score the same; scores may tie. A very long text is scored whole, and if it is over MAX_TRAIN_BYTES it is not trained on. A column called
+`score` keeps its name and the new one gets underscores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +36,7 @@ ship(__name__)
 
 BITS = 18
 MAX_TRAIN = 6000
+MAX_TRAIN_BYTES = 256 << 20
 EPOCHS = 2
 SCALE = 8.0
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
@@ -125,10 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Weights and bias learnt from at most `most` labelled rows outside fold 0."""
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     known = known.where(fold(F.col("id")) != 0)
-    have = docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct()
+    have = docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null")
     chosen = known.join(have, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
     # at most `most` ids: broadcast; of documents with the same id all count, most of them at the utmost
-    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(most).repartition(1)
+    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(most)
+    so_far = W.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)  # at most `most` rows
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sample = sample.withColumn("held", F.sum(F.when(size <= MAX_TRAIN_BYTES, size).otherwise(0)).over(so_far)).where((F.col("held") <= MAX_TRAIN_BYTES) & (size <= MAX_TRAIN_BYTES)).drop("held")
 
     def learn(batches):
         memory, rows = Hashes(), []

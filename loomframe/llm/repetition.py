@@ -62,7 +62,7 @@ def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return order, start, many
 
     order, start, many = groups(doc * (int(words.max()) + 1) + words)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # a level of doubling is kept for each bit of the longest repeat
     rank[order] = start
     levels, width = [rank], 1
     active = order[many]
@@ -70,8 +70,8 @@ def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         rank = levels[-1]
         ahead = active + width
         inside = ahead < end[active]
-        follow = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        base = rank[active]
+        follow = np.where(inside, rank[np.minimum(ahead, n - 1)].astype(np.int64) + 1, 0)
+        base = rank[active].astype(np.int64)
         order, start, many = groups(base * (n + 1) + follow)
         sorted_base = base[order]
         first = np.empty(len(order), bool)

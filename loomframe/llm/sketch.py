@@ -4,6 +4,10 @@ A text's shingles are its five-word windows (fewer words: the whole sequence; no
 Its sketch is the sorted array of the K smallest different 64-bit shingle hashes. Sketches merge
 by union; the K smallest of a union estimate resemblance (share that both have), containment
 and the number of different shingles.
+
+Defined results: null and blank texts have an empty sketch, like any other empty one; equal texts have equal sketches, so ties and repeated
+rows need no rule; a very long text is sketched whole in its row; null parts merge as a part of their own; a column called as a new one keeps its
+name and the new one gets underscores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ SHINGLE_WORDS = 5
 WHITE = " \t\n\x0b\f\r"
 #: Rows of an order bucket that next_texts aims at, and the most buckets whose heads are broadcast (24 bytes each).
 BUCKET_ROWS = 256
-MAX_BUCKETS = 65_536
+MAX_BUCKETS = 1 << 19
 KNOTS = 64
+#: Rows that a task of next_texts aims at.
+TASK_ROWS = 8_192
 
 
 def words(text: Column) -> Column:
@@ -73,10 +79,14 @@ def sketched(df: DataFrame, text: str = "text", k: int = K, out: str = "sketch")
 
 
 def merge_parts(df: DataFrame, part: str, sketch: str = "sketch", k: int = K) -> DataFrame:
-    """(part, sketch) of all rows of each part. Spark keeps k hashes a part and task before the shuffle, so a hot part is small."""
-    each = df.select(F.col(f"`{part}`").alias("p"), F.explode_outer(F.col(f"`{sketch}`")).alias("h"))
-    least = each.withColumn("r", F.dense_rank().over(W.partitionBy("p").orderBy(F.asc_nulls_last("h")))).where(F.col("r") <= k)
-    return least.distinct().groupBy("p").agg(F.array_sort(F.collect_list("h")).alias(sketch)).withColumnRenamed("p", part)
+    """(part, sketch) of all rows of each part.
+
+    Equal hashes of a part are one row before they are ranked, so copies cost nothing, and Spark keeps
+    k hashes a part and task before the last shuffle, so a hot part is small there.
+    """
+    each = df.select(F.col(f"`{part}`").alias("p"), F.explode_outer(F.col(f"`{sketch}`")).alias("h")).distinct()
+    least = each.withColumn("r", F.row_number().over(W.partitionBy("p").orderBy(F.asc_nulls_last("h")))).where(F.col("r") <= k)
+    return least.groupBy("p").agg(F.array_sort(F.collect_list("h")).alias(sketch)).withColumnRenamed("p", part)
 
 
 def next_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,7 +113,8 @@ def next_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     heads = heads.select(F.col("bucket").alias("b"), "head", "to")
     t = t.join(F.broadcast(heads), (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(F.col("head")), "left")
     places = F.when(F.col("to").isNull(), F.array("bucket")).otherwise(F.array("bucket", "to"))
-    return t.select("id", "text", F.posexplode(places).alias("pos", "bucket")).select("id", "text", "bucket", (F.col("pos") == 1).alias("is_copy"))
+    out = t.select("id", "text", F.posexplode(places).alias("pos", "bucket")).select("id", "text", "bucket", (F.col("pos") == 1).alias("is_copy"))
+    return out.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS)), "bucket")
 
 
 def op5_bottom_k_sketch(spark, sf_dir: str) -> DataFrame:
