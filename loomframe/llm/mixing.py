@@ -2,14 +2,15 @@
 
 Tokens are summed in cells of source, language and topic; a category without a target of its own is
 pooled as `other`, so the number of cells is bounded by the targets and not by the corpus. The cells' weights are raked
-in turn to each marginal until all agree, and all are then scaled by one factor: the sample takes the share of tokens asked for, or less
-where a cell would need more than all it has. So targets are met at any share, and what cells without tokens make
-impossible is returned as each marginal's residual and warned of. Documents are then drawn by
+in turn to each marginal until all agree, with every document's probability held at 1 at the most: cells
+that reach it give up what they can't hold to the others of the marginal. Where the share of tokens asked for can't be had so, the sample takes
+less, until the targets are met; what cells without tokens make
+impossible is returned as the residual and warned of. Documents are then drawn by
 their cell's probability, decided by a hash of id and text, so that a run repeated gives the same
 sample and equal rows fall alike. The cells are joined back by broadcast (at most MAX_CELLS rows).
 
 Targets are shares by category, or a number: the exponent that tempers the categories' own shares (1 keeps them, 0
-makes them equal), taken from the tokens of all rows for the MAX_CATEGORIES largest. Topics are a column of the table, or by default
+makes them equal), taken from the tokens of all rows for the MAX_CATEGORIES largest, none over LIFT times its own share. Topics are a column of the table, or by default
 KINDS kinds of text (kinds.py), fitted to all rows.
 
 Defined results: a null category is `other`; a null or blank text has no tokens and is drawn with its cell's
@@ -37,7 +38,11 @@ ship(__name__)
 OTHER = "other"
 MAX_CELLS = 100_000
 MAX_CATEGORIES = 200
+#: The most that tempering raises a category's share: within 1 / SHARE, so that the category has the tokens.
+LIFT = 1.5
 ROUNDS, TOLERANCE = 2_000, 1e-9
+#: By how much the sample's share of tokens shrinks in a try.
+SHRINK = 0.95
 #: A larger residual is warned of.
 MISSED = 1e-3
 #: What the registered query and the pipeline rake to: tempered shares of the sources and topics found, fixed shares of languages.
@@ -48,8 +53,42 @@ TOPICS = 0.7
 SHARE = 0.6
 
 
+def free(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray]) -> np.ndarray:
+    """Weights that meet the goals (tokens of each category), whatever their size: plain iterative proportional fitting."""
+    w = np.where(tokens > 0, 1.0, 0.0)
+    for _ in range(ROUNDS):
+        before = w
+        for code, goal in zip(codes, goals):
+            have = np.bincount(code, tokens * w, len(goal))
+            w = w * np.where(have > 0, goal / np.maximum(have, 1e-300), 0.0)[code]
+        if np.abs(w - before).max() < TOLERANCE:
+            break
+    return w
+
+
+def held(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """Probabilities of 1 at the most, fitted from p: what cells at 1 can't hold goes to the others of their category."""
+    for _ in range(ROUNDS // 10):
+        before = p
+        for code, goal in zip(codes, goals):
+            for _ in range(8):
+                full = p >= 1.0
+                fixed = np.bincount(code, np.where(full, tokens, 0.0), len(goal))
+                loose = np.bincount(code, np.where(full, 0.0, tokens * p), len(goal))
+                down = fixed + loose > goal
+                ratio = np.where(down, goal / np.maximum(fixed + loose, 1e-300), np.where(loose > 0, np.maximum(goal - fixed, 0) / np.maximum(loose, 1e-300), 1.0))
+                new = np.minimum(1.0, p * np.where(full & ~down[code], 1.0, ratio[code]))
+                still = np.abs(new - p).max() < TOLERANCE
+                p = new
+                if still:
+                    break
+        if np.abs(p - before).max() < TOLERANCE:
+            break
+    return p
+
+
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], share: float = SHARE) -> np.ndarray:
-    """Probability of each cell: the shares of tokens * probability are the targets, their sum is `share` of all or the most that probabilities up to 1 allow.
+    """Probability of each cell: the shares of tokens * probability are the targets, their sum is `share` of all or the most found that probabilities up to 1 allow.
 
     codes: each cell's category in each marginal; targets: the categories' shares of the sample's tokens.
     """
@@ -60,17 +99,18 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     for code, goal in zip(codes, targets):
         goal = np.where(np.bincount(code, tokens, len(goal)) > 0, goal, 0.0)
         goals.append(goal / max(goal.sum(), 1e-300) * total)
-    w = np.where(tokens > 0, 1.0, 0.0)
-    for _ in range(ROUNDS):
-        before = w
-        for code, goal in zip(codes, goals):
-            have = np.bincount(code, tokens * w, len(goal))
-            w = w * np.where(have > 0, goal / np.maximum(have, 1e-300), 0.0)[code]
-        if np.abs(w - before).max() < TOLERANCE:
-            break
-    reached = (tokens * w).sum()
-    p = w * min(share * total / max(reached, 1e-300), 1.0 / max(w.max(), 1e-300))
-    return np.where(tokens > 0, np.minimum(p, 1.0), min(1.0, share))
+    w = free(tokens, codes, goals)
+    least = max(residuals(tokens, codes, targets, w))  # what no probabilities can better
+    top = 1.0 / max(w.max(), 1e-300)
+    reached = top * (tokens * w).sum() / total  # the share at which the plain weights are probabilities
+    s, best = min(1.0, share), None
+    while s > reached and best is None:
+        p = held(tokens, codes, [g * s for g in goals], np.minimum(1.0, w * s))
+        best = p if max(residuals(tokens, codes, targets, p)) <= least + 1e-6 else None
+        s *= SHRINK
+    if best is None:
+        best = w * min(share / max((tokens * w).sum() / total, 1e-300), top)
+    return np.where(tokens > 0, np.minimum(best, 1.0), min(1.0, share))
 
 
 def residuals(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], p: np.ndarray) -> list[float]:
@@ -90,8 +130,21 @@ def tempered(counted: DataFrame, column: str, tokens: str, power: float) -> dict
     total = float(counted.agg(F.sum(f"`{tokens}`")).first()[0] or 0)
     out = {r.c: float(r.n or 0) for r in rows if r.c != OTHER}
     out[OTHER] = max(0.0, total - sum(out.values()))
-    out = {c: (n / max(1.0, total)) ** power if n else 0.0 for c, n in out.items()}
-    return {c: n / max(1e-300, sum(out.values())) for c, n in out.items()}
+    return limited({c: n / max(1.0, total) for c, n in out.items()}, power)
+
+
+def limited(shares: dict, power: float) -> dict:
+    """shares to a power, scaled to 1, none over LIFT times what it was: what is cut off goes to the others in proportion."""
+    out = {c: x**power if x > 0 else 0.0 for c, x in shares.items()}
+    capped: set = set()
+    while True:
+        left = 1.0 - sum(LIFT * shares[c] for c in capped)
+        loose = sum(x for c, x in out.items() if c not in capped)
+        out = {c: LIFT * shares[c] if c in capped else x * left / max(1e-300, loose) for c, x in out.items()}
+        over = {c for c in out if c not in capped and out[c] > LIFT * shares[c] * (1 + 1e-12)}
+        if not over:
+            return out
+        capped |= over
 
 
 def pooled(column: str, targets: dict) -> Column:
