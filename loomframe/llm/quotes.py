@@ -14,7 +14,8 @@ with a third of all messages is no single task's.
 
 Defined results: null and blank messages have no words and quote nothing; a quote without an original links nothing; messages without
 a parent start threads; repeated rows share their parent and each have a place; messages with a null turn come last and are never parents;
-a null conversation is one of its own.
+a null conversation is one of its own; of parents with as many quoted characters the latest counts; a very long message is parsed whole, alone in its chunk; an empty table gives an
+empty result. Only the four named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations

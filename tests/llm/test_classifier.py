@@ -49,3 +49,44 @@ def test_edges(spark, edge, empty):
     assert C.scored(empty, w, b, ["doc_id"]).count() == 0
     none, zero = C.train(edge, labels.where("false"))
     assert not none.any() and {r.score for r in C.scored(edge, none, zero, ["doc_id"]).collect()} == {0.5}
+
+
+def test_updates_against_a_reference_loop():
+    """Follow the regularised leader, one coordinate after the other, as published."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(120):
+        idx = np.unique(rng.integers(0, 60, 9)).astype(np.uint32)
+        rows.append((idx, rng.uniform(0.1, 3, len(idx)).astype(np.float32), int(rng.integers(2))))
+    z, n = {}, {}
+    bias_z = bias_n = 0.0
+
+    def weight(i, l1=C.L1, l2=C.L2):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (1 if zi > 0 else -1) * l1) / ((C.BETA + ni**0.5) / C.ALPHA + l2)
+
+    for _ in range(C.EPOCHS):
+        for idx, x, y in rows:
+            w = {int(i): weight(int(i)) for i in idx}
+            bias = -bias_z / ((C.BETA + bias_n**0.5) / C.ALPHA)
+            score = bias + sum(w[int(i)] * float(v) for i, v in zip(idx, x))
+            g = 1 / (1 + np.exp(-score)) - y
+            for i, v in zip(map(int, idx), map(float, x)):
+                step = g * v
+                sigma = ((n.get(i, 0.0) + step**2) ** 0.5 - n.get(i, 0.0) ** 0.5) / C.ALPHA
+                z[i] = z.get(i, 0.0) + step - sigma * w[i]
+                n[i] = n.get(i, 0.0) + step**2
+            bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / C.ALPHA * bias
+            bias_n += g * g
+    got, b = C.fit(rows, bits=6)
+    assert np.allclose(got, [weight(i) for i in range(64)], atol=1e-6)
+    assert abs(b + bias_z / ((C.BETA + bias_n**0.5) / C.ALPHA)) < 1e-6
+
+
+def test_training_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_TRAIN_BYTES", 5_000)
+    docs = spark.createDataFrame([(i, ("good words " if i % 2 else "BAD!! ") * 20) for i in range(200)] + [(1000, "BAD!! " * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1000, 1)], "doc_id long, quality int")
+    w, b = C.train(docs, labels)
+    got = {r.doc_id: r.score for r in C.scored(docs, w, b, ["doc_id"]).collect()}
+    assert got[1] > 0.5 > got[0]

@@ -80,3 +80,15 @@ def test_edges(spark, edge, empty, tmp_path):
 def test_no_python_on_the_executors(spark):
     plan = K.op5_bottom_k_sketch(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_hot_part_of_copies_merges(spark):
+    df = spark.range(30_000).selectExpr("id as doc_id", "'p' as part", "case when id % 2 = 0 then 'one text of more than five words' else concat('text number ', id % 50, ' of a part that is hot') end as text")
+    each = K.sketched(df)
+    union = set()
+    for r in each.select("sketch").distinct().collect():
+        union |= set(r.sketch)
+    merged = K.merge_parts(each, "part").collect()
+    assert len(merged) == 1 and merged[0]["sketch"] == sorted(union)[: K.K]
+    none = K.merge_parts(spark.createDataFrame([(None, []), ("a", None)], "part string, sketch array<bigint>"), "part")
+    assert {r.part: r.sketch for r in none.collect()} == {None: [], "a": []}
