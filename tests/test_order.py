@@ -18,11 +18,18 @@ def adaptive(spark, request):
     spark.conf.set("spark.sql.shuffle.partitions", old[1])
 
 
-@pytest.fixture
-def wide(spark):
-    """Rows of two columns of 128 characters, in the order of k = 3 * rank."""
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """Rows of two columns of 128 characters in many files, k = 3 * rank."""
+    path = str(tmp_path_factory.mktemp("wide") / "t")
     t = spark.range(N).select((F.col("id") * 3).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("a"), F.repeat(F.sha2((-F.col("id")).cast("string"), 256), 2).alias("b"))
-    return Frame(t.repartition(16, "a")).order_by("k")
+    t.repartition(16, "a").write.parquet(path)
+    return path
+
+
+@pytest.fixture
+def wide(spark, table):
+    return Frame(spark.read.parquet(table)).order_by("k")
 
 
 def written(f, spark, tmp_path, name="t"):
@@ -40,16 +47,16 @@ def test_row_index(spark, wide, adaptive, tmp_path):
     once(written(wide.with_row_index("i"), spark, tmp_path), "i", F.col("k") / 3)
 
 
-def test_row_number(spark, wide, adaptive, tmp_path):
+def test_row_number(spark, wide, tmp_path):
     out = written(wide.with_columns(col("k").row_number().alias("n")), spark, tmp_path).withColumn("i", F.col("n") - 1)
     once(out, "i", F.col("k") / 3)
 
 
-def test_reverse(spark, wide, adaptive, tmp_path):
+def test_reverse(spark, wide, tmp_path):
     once(written(wide.reverse().with_row_index("i"), spark, tmp_path), "i", F.lit(N - 1) - F.col("k") / 3)
 
 
-def test_slice(spark, wide, adaptive, tmp_path):
+def test_slice(spark, wide, tmp_path):
     out = written(wide.slice(1000, -2000), spark, tmp_path).withColumn("i", (F.col("k") / 3 - 1000).cast("long"))
     once(out, "i", F.col("k") / 3 - 1000, N - 3000)
 
