@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 #: UTF-8 bytes of text that a Python worker takes at once, besides one whole text.
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch that Spark sends to a worker, besides one whole row. Rows alone are no bound, as texts have any length.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def ship(module: str) -> None:

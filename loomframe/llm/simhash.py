@@ -185,9 +185,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     rows = keyed.select(F.col(key).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("hash"), "row")
-    found = likeness.roots(rows.select("row", "text"), "text", width, least).join(rows.select("row", order.alias("order")), "row")
-    keep = found.groupBy("root").agg(F.min("order").alias("order")).select(F.col("order.row").alias(key))
-    return keyed.join(keep, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    roots = likeness.roots(rows.select("row", "text"), "text", width, least)
+    # only components of more than one row are ranked, and only the rows that go meet the texts again
+    many = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    found = stored(roots.join(many, "root", "left_semi").join(rows.select("row", order.alias("order")), "row"), "found")
+    stay = found.groupBy("root").agg(F.min("order").alias("order")).select("order.row")
+    gone = stored(found.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", key), "gone")
+    discard(roots, found)
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_byte_index(spark, sf_dir: str) -> DataFrame:

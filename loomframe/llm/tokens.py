@@ -74,8 +74,8 @@ def same_ids(spec: dict, ranks: dict, pattern: str) -> bool:
     return True
 
 
-def rank_file(path: str) -> str | None:
-    """The file of ranks beside a .json file that gives the same ids, if there is one. Compared once a process; the driver asks, workers are told."""
+def rank_file(path: str) -> tuple[str, tuple] | None:
+    """The file of ranks beside a .json file that gives the same ids, and its special tokens, if there is one. Compared once a process; the driver asks, workers are told."""
     known = sys.__dict__.setdefault("_loomframe_rank_files", {})
     if path not in known:
         ranks_path = path[: -len(".json")] + ".tiktoken"
@@ -86,7 +86,7 @@ def rank_file(path: str) -> str | None:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             if same_ids(spec, _ranks(ranks_path), public_tokenizers.PATTERN):
-                known[path] = ranks_path
+                known[path] = ranks_path, tuple((t["content"], t["id"]) for t in spec["added_tokens"])
     return known[path]
 
 
@@ -95,7 +95,7 @@ def _ranks(path: str) -> dict:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def encoder(path: str, special: bool = True, ranks: str | None = None):
+def encoder(path: str, special: bool = True, ranks: tuple | None = None):
     """A function from a list of str to a list of uint32 arrays; kept for the life of the process.
 
     special: whether the string of a special token in a text is that token, else it is ordinary text. ranks: what rank_file(path) gave.
@@ -109,9 +109,7 @@ def encoder(path: str, special: bool = True, ranks: str | None = None):
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            marks = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        enc = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(ranks), special_tokens=marks)
+        enc = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(ranks[0]), special_tokens=dict(ranks[1]))
         allowed = "all" if special else set()
 
         def fn(texts):
