@@ -69,3 +69,21 @@ def test_rows_that_share_an_id_or_have_none(spark):
     data = [(1, a), (1, b), (None, "seen twice without any id at all"), (None, "seen twice without any id at all"), (None, a), (2, b)]
     got = S.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, "seen twice without any id at all"), (1, a), (1, b)])
+
+
+def test_links_go_through_the_byte_index(spark, monkeypatch):
+    """The stage lists fingerprints of five-word shingles by bytes; each gets its nearest partner up to five bits away."""
+    seen = []
+    index = S.near_links
+    monkeypatch.setattr(S, "near_links", lambda fps: seen.append(sorted(r.fp for r in fps.collect())) or index(fps))
+    base = [f"b{i}" for i in range(400)]
+    data = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(0, 400, 8)] + [(i, " ".join(f"y{i}.{k}" for k in range(30))) for i in range(400, 450)]
+    got = S.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    at, h, _ = L.shingles([t.encode() for _, t in data], L.Powers(), 5)
+    n = [int((at == i).sum()) for i in range(len(data))]
+    u = sorted({int(f) & (1 << 64) - 1 for f in S.majority(h, n)})
+    assert [sorted(f & (1 << 64) - 1 for f in s) for s in seen] == [u] and len(got) == 51
+    nearest = {min(((a ^ b).bit_count(), a, b) for a in u[:i]) for i, b in enumerate(u) if i}
+    want = {(a, b) for bits, a, b in nearest if bits <= 5}
+    found = {tuple(v & (1 << 64) - 1 for v in (r.a, r.b)) for r in index(spark.createDataFrame([(f - (f >> 63 << 64),) for f in u], "fp long")).collect()}
+    assert want <= found and len(want) > 30 and all((a ^ b).bit_count() <= 5 for a, b in found)
