@@ -87,3 +87,20 @@ def test_links_go_through_the_byte_index(spark, monkeypatch):
     want = {(a, b) for bits, a, b in nearest if bits <= 5}
     found = {tuple(v & (1 << 64) - 1 for v in (r.a, r.b)) for r in index(spark.createDataFrame([(f - (f >> 63 << 64),) for f in u], "fp long")).collect()}
     assert want <= found and len(want) > 30 and all((a ^ b).bit_count() <= 5 for a, b in found)
+
+
+def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Half the pairs of the group are links; a few of each text's are compared, and those that join components."""
+    compared = []
+    verified = L.verified
+    monkeypatch.setattr(L, "verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    base = [f"b{i}" for i in range(150)]
+    data = []
+    for i in range(400):
+        words = list(base)
+        for k in range(1 + i % 3):
+            words[(i * 37 + k * 53) % 150] = f"x{i}.{k}"
+        data.append((i, " ".join(words)))
+    got = sorted(r.doc_id for r in S.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == sorted(set(slow_roots([t for _, t in data]))) == [0]
+    assert sum(compared) < 25 * len(data)  # of 79,800 pairs
