@@ -58,8 +58,8 @@ KEYS = [(*a, *b) for a, b in combinations(PAIRS, 2)]
 NEAR_BITS = 5
 NEAR_SHARED = BYTES - NEAR_BITS
 NEAR_KEYS = [k for half in (range(4), range(4, BYTES)) for k in combinations(half, 2)]
-#: Hashes whose bits are counted at once.
-COUNTED = 200_000
+#: Hashes whose bits are counted at once: a worker holds 64 numbers for each.
+COUNTED = 16_000
 #: Members of a list whose pairs are tallied one by one; longer lists are hot.
 PAIRWISE = 256
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -100,7 +100,7 @@ def fingerprint(texts: list, k: int = SHINGLE_WORDS) -> np.ndarray:
             starts = ends - lengths
             h = np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64, len(w) - k + 1)
         at.append(i), sizes.append(len(h)), held.append(h)
-        if sum(sizes) > COUNTED:
+        if sum(sizes) > 200_000:
             flush()
     flush()
     return out
