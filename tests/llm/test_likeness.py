@@ -1,3 +1,4 @@
+import random
 from fractions import Fraction
 
 from loomframe.llm import likeness as L
@@ -104,3 +105,30 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
     got = sorted(r.doc_id for r in S.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect())
     assert got == sorted(set(slow_roots([t for _, t in data]))) == [0]
     assert sum(compared) < 25 * len(data)  # of 79,800 pairs
+
+
+def test_near_copies_that_are_no_links_meet_about_once(spark, monkeypatch):
+    """Pairs that share hundreds of shingles meet in the list of the first, or in none where a text's own shingles before it leave too few."""
+    rows = []
+    met = L.met
+    monkeypatch.setattr(L, "met", lambda *given: rows.append((found := met(*given)).count()) or found)
+
+    def texts(name, edits):
+        """24 texts of 1,504 words, each with so many words of its own, and the last one again with another word."""
+        out = []
+        for i in range(24):
+            words = [f"{name}{k}" for k in range(1504)]
+            for k in random.Random(i).sample(range(1504), edits):
+                words[k] = f"{name}.{i}.{k}"
+            out.append(" ".join(words))
+        return [*out, out[-1] + " else"]
+
+    def stage(name, edits):
+        given = texts(name, edits)
+        rows.clear()
+        got = sorted(r.doc_id for r in S.near_dedup(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect())
+        assert got == sorted(set(slow_roots(given))) == list(range(24))
+        return sum(rows)
+
+    assert stage("b", 44) == 0
+    assert 0 < stage("a", 24) < 2 * 25 * 24 / 2
